@@ -82,7 +82,8 @@ def with_robust_z(df, value: str, out: str, part: WindowSpec):
 
 
 # ---- Student-t two-sided tail: regularised incomplete beta by continued fraction ----
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+def _lgamma(x):
+    return np.array([math.lgamma(v) for v in x])
 
 
 def _beta_fraction(a, b, x):
@@ -120,7 +121,7 @@ def t_two_sided(t, dof):
     a, b = n / 2.0, np.full(n.shape, 0.5)
     x = n / (n + tt * tt)
     y = tt * tt / (n + tt * tt)
-    log_front = (_lgamma(a + b) - _lgamma(a) - _lgamma(b)).astype(float)
+    log_front = _lgamma(a + b) - _lgamma(a) - _lgamma(b)
     with np.errstate(divide="ignore"):
         log_front = log_front + a * np.log(x) + b * np.log(y)
     front = np.exp(log_front)
