@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.joins import join_on
 from ..functions.numeric import corr_safe, corr_t, distance_bin, haversine_km, t_pvalue
 from ..functions.ranks import spearman
+from ..session import cut_lineage
 from .leadlag import dense, masked_corr
 from .normalize import ensure_market_id
 from .returns import market_returns
@@ -122,27 +123,32 @@ def integration_pairs(df: DataFrame, edges: DataFrame | None = None, min_overlap
                         "median_abs_log_price_gap", "shared_date_fraction", "transmission_strength", score.alias("integration_score"))
 
 
-def usable_coordinates(returns: DataFrame, markets: DataFrame) -> DataFrame:
-    """Coordinates by market id; only if no id matches at all, by display name where names are unique."""
+def usable_coordinates(df: DataFrame, markets: DataFrame, match: str = "auto") -> DataFrame:
+    """Coordinates keyed by market id.
+
+    ``match='id'`` uses ids, ``'name'`` display names that are unique among the coordinates. ``'auto'`` asks one
+    small job whether any id matches and falls back to names only if none does.
+    """
+    cols = [c for c in ("market", "state", "lat", "lon") if c in markets.columns]
     m = ensure_market_id(markets).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    cols = [c for c in ("market", "state", "lat", "lon") if c in m.columns]
     m = m.groupBy("market_id").agg(F.min(F.struct(*cols)).alias("m")).select("market_id", "m.*")
-    ids = returns.groupBy("market_id").agg(F.min("market").alias("name"))
-    by_id = m.join(ids, "market_id", "left_semi")
-    if "market" not in cols:
-        return by_id
-    matched = by_id.agg(F.count(F.lit(1))).scalar()
+    if match == "auto":
+        hit = not m.join(df.select("market_id").distinct(), "market_id", "left_semi").isEmpty()
+        match = "id" if hit or "market" not in cols else "name"
+    if match == "id":
+        return m
     named = m.groupBy("market").agg(F.min(F.struct(*cols)).alias("m"), F.count(F.lit(1)).alias("k"))
     repeated = named.agg(F.coalesce(F.max("k"), F.lit(0))).scalar()
-    by_name = ids.join(named, ids["name"] == named["market"]).where((matched == 0) & (repeated <= 1)).select("market_id", "m.*")
-    return by_id.unionByName(by_name)
+    ids = df.groupBy("market_id").agg(F.min("market").alias("name"))
+    return ids.join(named, ids["name"] == named["market"]).where(repeated <= 1).select("market_id", "m.*")
 
 
-def distance_pairs(df: DataFrame, markets: DataFrame, min_overlap: int = 35) -> DataFrame:
+def distance_pairs(df: DataFrame, markets: DataFrame, min_overlap: int = 35, match: str = "auto") -> DataFrame:
     """Great-circle distance and return correlation of every pair of located markets."""
     by = ["commodity"]
+    df = ensure_market_id(df)
     r = market_returns(df, by)
-    coords = usable_coordinates(r, markets)
+    coords = usable_coordinates(df, markets, match)
     series = r.select(*by, "market_id", "date", "ret").join(coords.select("market_id"), "market_id", "left_semi")
     pairs = _both_ends(compare_pairs(series, by, min_overlap, prices=False), coords, [], [c for c in coords.columns if c != "market_id"])
     km = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
@@ -162,7 +168,7 @@ def permutation_rhos(pairs: DataFrame, by: list[str], permutations: int, seed: i
     perm = ids.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     shuffled = Window.partitionBy(*by, "perm").orderBy(F.xxhash64(F.lit(seed), "perm", "id"), "id")
     mapping = perm.select(*by, "perm", F.col("id").alias("to"), F.row_number().over(shuffled).alias("slot"))
-    mapping = mapping.join(ids, [*by, "slot"]).select(*by, "perm", "id", "to")
+    mapping = cut_lineage(mapping.join(ids, [*by, "slot"]).select(*by, "perm", "id", "to"))
     x = pairs.select(*by, "market_a_id", "market_b_id", "distance_km")
     for end in ("a", "b"):
         m = mapping.select(*by, "perm", F.col("id").alias(f"market_{end}_id"), F.col("to").alias(f"to_{end}"))
@@ -182,6 +188,7 @@ def permutation_rhos(pairs: DataFrame, by: list[str], permutations: int, seed: i
 def distance_effect(pairs: DataFrame, by: list[str] | None = None, permutations: int = 499, seed: int = 240124) -> DataFrame:
     """Pairs, Spearman rho of distance and co-movement, its t-test p and the permutation p, per commodity."""
     by = by or ["commodity"]
+    pairs = cut_lineage(pairs)  # a result table that the ranks and permutations below read several times
     counts = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"))
     rho = spearman(pairs, by, "distance_km", "return_corr").withColumnsRenamed({"n": "used"})
     out = join_on(counts, rho, by, "left")

@@ -109,7 +109,7 @@ YEAR_SQL = o.panel() + """, ev AS (SELECT commodity, yr AS year FROM (SELECT com
 
 @query("cmp09_yearly_edges", o.select(YEAR_SQL, "commodity:s year:i leader_id:s follower_id:s lag_days:i corr:f p_value:f q_value:f overlap:i", "edges_all"))
 def _(spark, d):
-    return ll.yearly_edges(wh.panel(spark, d), YEARLY).select("commodity", "year", "leader_id", "follower_id", "lag_days", "corr", "p_value", "q_value", "overlap")
+    return ll.yearly_edges(wh.stored_panel(spark, d), YEARLY).select("commodity", "year", "leader_id", "follower_id", "lag_days", "corr", "p_value", "q_value", "overlap")
 
 
 @query("cmp09_edge_stability", o.select(YEAR_SQL + """, s AS (SELECT commodity, leader_id, follower_id, leader, follower, count(DISTINCT year) AS years_supported,
@@ -118,14 +118,14 @@ def _(spark, d):
     FROM edges_all GROUP BY ALL)""",
     "commodity:s leader_id:s follower_id:s leader:s follower:s years_supported:i median_corr:f median_abs_corr:f median_lag_days:f median_overlap:f years_evaluated:i persistence_ratio:f", "s"))
 def _(spark, d):
-    p = wh.panel(spark, d)
+    p = wh.stored_panel(spark, d)
     return ll.edge_stability(ll.yearly_edges(p, YEARLY), ll.evaluable_years(p, YEARLY.min_overlap))
 
 
 @query("win13_leader_stability")
 def _(spark, d):
     by = ["commodity", "year"]
-    scores = gr.influence_scores(ll.yearly_edges(wh.panel(spark, d), YEARLY), by)
+    scores = gr.influence_scores(ll.yearly_edges(wh.stored_panel(spark, d), YEARLY), by)
     return ll.leader_stability(ll.leader_ranks(scores, by))
 
 
@@ -138,16 +138,16 @@ def _(spark, d):
 
 PAGERANK_SQL = """, e AS (SELECT follower_id AS f, leader_id AS t, abs(corr) AS w FROM edges_all WHERE abs(corr) >= 0.15 AND q_value <= 0.5),
   nd AS (SELECT f AS id FROM e UNION SELECT t FROM e), sz AS (SELECT count(*) AS n FROM nd),
-  m AS (SELECT a.id AS f, b.id AS t, coalesce(max(e.w) / nullif(max(s.sw), 0), CASE WHEN max(s.sw) IS NULL THEN 1.0 / max(n) ELSE 0 END) AS pr
+  m AS (SELECT a.id AS f, b.id AS t, coalesce(max(e.w) / nullif(max(s.sw), 0), CASE WHEN max(s.sw) IS NULL THEN 1.0 / max(n) ELSE 0 END) AS share
     FROM nd a CROSS JOIN nd b CROSS JOIN sz LEFT JOIN e ON e.f = a.id AND e.t = b.id LEFT JOIN (SELECT f, sum(w) AS sw FROM e GROUP BY f) s ON s.f = a.id GROUP BY ALL)"""
 
 
 def _pagerank_sql() -> str:
-    """Sixty unrolled rounds, beyond the point where six decimals settle; compared at three decimals."""
-    out, last = DENSE_EDGES + PAGERANK_SQL + ", r0 AS (SELECT id, 1.0 / n AS r FROM nd, sz)", "r0"
+    """Unrolled rounds past the stopping point of the iteration; compared at three decimals."""
+    out, last = DENSE_EDGES + PAGERANK_SQL + ", pr0 AS (SELECT id, 1.0 / n AS r FROM nd, sz)", "pr0"
     for k in range(1, 25):
-        out += f", r{k} AS MATERIALIZED (SELECT t AS id, 0.85 * sum(pr * r) + 0.15 / max(n) AS r FROM m JOIN {last} ON {last}.id = m.f, sz GROUP BY t)"
-        last = f"r{k}"
+        out += f", pr{k} AS MATERIALIZED (SELECT t AS id, 0.85 * sum(share * r) + 0.15 / max(n) AS r FROM m JOIN {last} ON {last}.id = m.f, sz GROUP BY t)"
+        last = f"pr{k}"
     return "WITH " + out + f" SELECT id AS market_id, CAST(floor(r * 1000 + 0.5) AS BIGINT) AS rank_millis FROM {last}"
 
 
@@ -172,12 +172,12 @@ def _(spark, d):
 
 @query("cmp02_influence_scores")
 def _(spark, d):
-    return gr.influence_scores(ll.lead_lag_edges(wh.panel(spark, d, typed=True), TYPED_PAIRS))
+    return gr.influence_scores(ll.lead_lag_edges(wh.stored_panel(spark, d, typed=True), TYPED_PAIRS))
 
 
 @query("top02_top_influence")
 def _(spark, d):
-    s = gr.influence_scores(ll.lead_lag_edges(wh.panel(spark, d), GATED))
+    s = gr.influence_scores(ll.lead_lag_edges(wh.stored_panel(spark, d), GATED))
     return ev.top_n(s, [F.desc("influence_score"), F.col("market_id")], 10)
 
 
@@ -218,13 +218,13 @@ IG_COLS = "commodity:s market_a_id:s market_b_id:s return_corr:f median_abs_log_
 
 @query("cmp03_integration_pairs", o.select(DENSE_EDGES + integration_sql(35, "edges_all"), IG_COLS, "sc"))
 def _(spark, d):
-    p = wh.panel(spark, d)
+    p = wh.stored_panel(spark, d)
     return pr.integration_pairs(p, ll.lead_lag_edges(p, ALL_PAIRS)).drop("market_a", "market_b", "state_a", "state_b")
 
 
 @query("cmp03_integration_by_commodity", o.select(TYPED_RET + integration_sql(10, None), IG_COLS, "sc"))
 def _(spark, d):
-    return pr.integration_pairs(wh.panel(spark, d, typed=True), None, 10).drop("market_a", "market_b", "state_a", "state_b")
+    return pr.integration_pairs(wh.stored_panel(spark, d, typed=True), None, 10).drop("market_a", "market_b", "state_a", "state_b")
 
 
 DISTANCE = o.COORDS + pair_returns_sql(10) + """, dp AS (SELECT rr.*, a.market AS market_a, b.market AS market_b, a.state AS state_a, b.state AS state_b,
@@ -237,7 +237,7 @@ DISTANCE = o.COORDS + pair_returns_sql(10) + """, dp AS (SELECT rr.*, a.market A
 @query("cmp04_distance_pairs", o.select(TYPED_RET + DISTANCE,
        "commodity:s market_a_id:s market_b_id:s market_a:s market_b:s state_a:s state_b:s distance_km:f return_corr:f overlap:i distance_bin:s", "db"))
 def _(spark, d):
-    return pr.distance_pairs(wh.panel(spark, d, typed=True), wh.coordinates(spark, d), 10)
+    return pr.distance_pairs(wh.stored_panel(spark, d, typed=True), wh.coordinates(spark, d), 10, "id")
 
 
 def rank_sql(c: str, part: str) -> str:
@@ -250,12 +250,12 @@ def rank_sql(c: str, part: str) -> str:
   r AS (SELECT *, {o.t_tail('spearman_rho * sqrt((pairs - 2) / (1 - spearman_rho * spearman_rho))', '(pairs - 2)')} AS p_value FROM sp)""",
     "commodity:s pairs:i spearman_rho:f p_value:f", "r"))
 def _(spark, d):
-    return pr.distance_effect(pr.distance_pairs(wh.panel(spark, d, typed=True), wh.coordinates(spark, d), 10), permutations=0).drop("qap_p_value")
+    return pr.distance_effect(pr.distance_pairs(wh.stored_panel(spark, d, typed=True), wh.coordinates(spark, d), 10, "id"), permutations=0).drop("qap_p_value")
 
 
 @query("cmp05_qap_permutation")
 def _(spark, d):
-    return pr.distance_effect(pr.distance_pairs(wh.panel(spark, d), wh.coordinates(spark, d)), permutations=499)
+    return pr.distance_effect(pr.distance_pairs(wh.stored_panel(spark, d), wh.coordinates(spark, d), match="id"), permutations=499)
 
 
 @query("fn01_fn03_haversine_bins", o.select(o.FINE_COORDS + """, p AS (SELECT a.market_id AS market_id,
@@ -339,7 +339,7 @@ RIPPLE_COLS = "commodity:s leader_id:s follower_id:s event_date:d response_date:
 
 
 def _ripples(spark, d):
-    p = wh.panel(spark, d)
+    p = wh.stored_panel(spark, d)
     shocks = ev.price_shocks(p)
     events = shocks.groupBy("commodity", F.col("market_id").alias("leader_id")).agg(
         F.max_by("date", F.struct(F.abs("return_z"), F.col("date"))).alias("event_date"))
@@ -363,7 +363,7 @@ def _(spark, d):
   r AS (SELECT ld_.commodity, ld_.leader_id, coalesce(sd, ld) AS event_date FROM ld_ JOIN l ON l.commodity = ld_.commodity LEFT JOIN b ON b.commodity = ld_.commodity AND b.leader_id = ld_.leader_id)""",
     "commodity:s leader_id:s event_date:d", "r"))
 def _(spark, d):
-    p = wh.panel(spark, d)
+    p = wh.stored_panel(spark, d)
     scores = ret.market_returns(p).groupBy("commodity", "market_id").agg(F.count(F.lit(1)).cast("double").alias("influence_score"))
     return ev.default_ripple_event(p, scores)
 
@@ -385,7 +385,7 @@ JOINED = o.panel() + ANOMALY + """, jw AS (SELECT panel.*, rainfall_mm, temperat
 
 @query("jn03_market_weather_join", o.select(JOINED, "date:d market_id:s commodity:s modal_price:f rainfall_mm:f temperature_c:f rainfall_anomaly_z:f temperature_anomaly_z:f climatology_n:i", "jw"))
 def _(spark, d):
-    x = we.join_market_weather(wh.panel(spark, d), wh.daily_signal(spark, d))
+    x = we.join_market_weather(wh.stored_panel(spark, d), wh.daily_signal(spark, d))
     return x.select("date", "market_id", "commodity", "modal_price", "rainfall_mm", "temperature_c", "rainfall_anomaly_z", "temperature_anomaly_z", "climatology_n")
 
 
@@ -393,7 +393,7 @@ def _(spark, d):
   r AS (SELECT (SELECT count(*) FROM a) AS price_ids, (SELECT count(*) FROM b) AS weather_ids, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS shared_ids)""",
     "price_ids:i weather_ids:i shared_ids:i", "r"))
 def _(spark, d):
-    return we.id_overlap(wh.panel(spark, d), wh.daily_signal(spark, d)).select("price_ids", "weather_ids", "shared_ids")
+    return we.id_overlap(wh.stored_panel(spark, d), wh.daily_signal(spark, d)).select("price_ids", "weather_ids", "shared_ids")
 
 
 EVENT = JOINED + """, e0 AS (SELECT * FROM jw WHERE abs(rainfall_anomaly_z) >= 2),
@@ -412,7 +412,7 @@ EVENT = JOINED + """, e0 AS (SELECT * FROM jw WHERE abs(rainfall_anomaly_z) >= 2
 
 
 def _study(spark, d):
-    return we.event_study(we.join_market_weather(wh.panel(spark, d), wh.daily_signal(spark, d)), policy=EventPolicy())
+    return we.event_study(we.join_market_weather(wh.stored_panel(spark, d), wh.daily_signal(spark, d)), policy=EventPolicy())
 
 
 @query("cmp08_jn08_jn09_event_study", o.select(EVENT, "market_id:s market:s state:s commodity:s event_date:d baseline_date:d response_date:d horizon_days:i weather_z:f event_sign:s price_change_pct:f arrival_change_pct:f", "es"))
@@ -422,7 +422,7 @@ def _(spark, d):
 
 @query("win12_declustered_events", o.select(EVENT, "commodity:s market_id:s date:d rainfall_anomaly_z:f", "e3"))
 def _(spark, d):
-    x = we.join_market_weather(wh.panel(spark, d), wh.daily_signal(spark, d)).where(F.abs("rainfall_anomaly_z") >= 2)
+    x = we.join_market_weather(wh.stored_panel(spark, d), wh.daily_signal(spark, d)).where(F.abs("rainfall_anomaly_z") >= 2)
     return we.decluster(x, ["commodity", "market_id"], "rainfall_anomaly_z", 2).select("commodity", "market_id", "date", "rainfall_anomaly_z")
 
 

@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-from . import q_panel, q_series  # noqa: E402,F401
+from . import q_forecast, q_ingest, q_panel, q_series  # noqa: E402,F401

@@ -6,18 +6,26 @@ no broadcast hint: Spark broadcasts the small dimensions by their size statistic
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import make_market_id
 from ..operators.normalize import keep_last
 from ..operators.panel import aggregate_market_daily
+from ..session import cut_lineage
 from ..spec import ROW_KEY
 
 INGEST_ORDER = ["l_orderkey", "l_linenumber"]
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One table; its schema is read from the footer once per path and then passed on, which saves a job per scan."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def geography(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,6 +61,11 @@ def panel(spark: SparkSession, folder: str, typed: bool = False, fine: bool = Fa
     return aggregate_market_daily(rows.drop(*INGEST_ORDER))
 
 
+def stored_panel(spark: SparkSession, folder: str, typed: bool = False, fine: bool = False) -> DataFrame:
+    """The panel written once to the checkpoint folder, for work that reads it several times."""
+    return cut_lineage(panel(spark, folder, typed, fine))
+
+
 def text_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The same rows as untyped, untidy text: padded names, two date styles, non-numbers, negative amounts."""
     x = price_rows(spark, folder, typed=True)
