@@ -451,3 +451,15 @@ def _(spark, d):
     nat = we.market_cells(wh.coordinates(spark, d)).select("market_id", "power_cell_lat", "power_cell_lon")
     chunks = wh.daily_signal(spark, d).join(nat, "market_id").withColumnsRenamed({"market_id": "chunk"})
     return we.rebuild_weather(wh.coordinates(spark, d, fine=True), chunks, ["chunk"]).select("date", "market_id", "rainfall_mm", "temperature_c")
+
+
+@query("agg19_run_summary")
+def _(spark, d):
+    from .batch import run_summary
+    p = wh.stored_panel(spark, d)
+    edges = ll.lead_lag_edges(p, GATED)
+    yearly = ll.yearly_edges(p, YEARLY)
+    by = ["commodity", "year"]
+    leaders = ll.leader_stability(ll.leader_ranks(gr.influence_scores(yearly, by), by))
+    return run_summary(p, edges, gr.influence_scores(edges), ll.edge_stability(yearly, ll.evaluable_years(p, 20)), leaders,
+                       supply=pr.supply_price_stats(p, ["commodity"]))
