@@ -42,12 +42,13 @@ def run_summary(panel: DataFrame, edges: DataFrame, scores: DataFrame, stability
         best = F.struct(-F.col("top3_years"), F.col("mean_rank"), -F.col("mean_influence"), F.col("market_id"))
         parts.append(leaders.groupBy("commodity").agg(F.min_by("market_id", best).alias("top_stable_leader")))
     if effect is not None:
-        parts.append(effect)
+        parts.append(effect.withColumnsRenamed({"pairs": "distance_pairs", "spearman_rho": "distance_rho", "p_value": "distance_p",
+                                                "qap_p_value": "distance_qap_p"}))
     if events is not None:
         parts.append(events.groupBy("commodity").agg(F.count(F.lit(1)).alias("weather_event_rows"),
                                                      F.countDistinct("event_sign", "horizon_days").alias("weather_summary_rows")))
     if supply is not None:
-        parts.append(supply.drop("n"))
+        parts.append(supply.withColumnsRenamed({c: f"supply_{c}" for c in supply.columns if c != "commodity"}))
     for p in parts:
         out = out.join(p, "commodity", "left")
     counts = [c for c in ("lead_lag_edges", "evaluable_years", "persistent_edges_ge_50pct", "weather_event_rows", "weather_summary_rows") if c in out.columns]
