@@ -50,22 +50,23 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     """
     counts, hist = _value_counts(df, keys, value, scale)
     specs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
-    pos = F.col("__q.p") * (F.col("__n") - 1)
-    targets = (hist.withColumn("__q", F.explode(specs))
-               .withColumn("__lo", F.floor(pos)).withColumn("__hi", F.ceil(pos)).withColumn("__f", pos - F.floor(pos))
-               .where((F.col("__hi") >= F.col("__before")) & (F.col("__lo") < F.col("__cum")))
-               .select(*keys, "__b", "__before", F.col("__q.name").alias("__name"), "__lo", "__hi", "__f"))
-    wanted = targets.select(*keys, "__b", "__before").distinct()
-    in_bucket = join_on(counts, wanted, [*keys, "__b"])
+
+    def ranks_of(q: Column) -> Column:
+        pos = q["p"] * (F.col("__n") - 1)
+        return F.struct(q["name"].alias("name"), F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"), (pos - F.floor(pos)).alias("f"))
+
+    # every histogram row keeps the target ranks that fall into it; buckets without one are dropped before the join
+    touched = hist.withColumn("__t", F.filter(F.transform(specs, ranks_of), lambda t: (t["hi"] >= F.col("__before")) & (t["lo"] < F.col("__cum"))))
+    touched = touched.where(F.size("__t") > 0).select(*keys, "__b", "__before", "__t")
     inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    in_bucket = in_bucket.withColumn("__end", F.col("__before") + F.sum("__c").over(inside)).withColumn(
-        "__start", F.col("__end") - F.col("__c"))
-    hit = join_on(in_bucket, targets.drop("__before"), [*keys, "__b"])
+    x = join_on(counts, touched, [*keys, "__b"]).withColumn("__end", F.col("__before") + F.sum("__c").over(inside))
+    x = x.withColumn("__start", F.col("__end") - F.col("__c")).withColumn("__q", F.explode("__t"))
 
     def at(rank: str) -> Column:
-        return F.when((F.col(rank) >= F.col("__start")) & (F.col(rank) < F.col("__end")), F.col("__v"))
+        return F.max(F.when((F.col(rank) >= F.col("__start")) & (F.col(rank) < F.col("__end")), F.col("__v")))
 
-    per = hit.groupBy(*keys, "__name").agg(F.max(at("__lo")).alias("__vlo"), F.max(at("__hi")).alias("__vhi"), F.max("__f").alias("__f"))
+    per = x.groupBy(*keys, F.col("__q.name").alias("__name")).agg(
+        at("__q.lo").alias("__vlo"), at("__q.hi").alias("__vhi"), F.max("__q.f").alias("__f"))
     val = F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__f")
     return per.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, val)).alias(n) for n in probs])
 

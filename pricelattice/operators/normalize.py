@@ -92,8 +92,11 @@ def ensure_market_id(df: DataFrame) -> DataFrame:
     return df.withColumn("market_id", F.when(F.trim(F.coalesce(kept, F.lit(""))) != "", kept).otherwise(made))
 
 
-def normalize_prices(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Full row normaliser. ``order`` names the ingest-order columns that decide which duplicate is last."""
+def normalize_prices(df: DataFrame, order: list[str] | None = None, with_id: bool = True) -> DataFrame:
+    """Full row normaliser. ``order`` names the ingest-order columns that decide which duplicate is last.
+
+    ``with_id=False`` leaves deriving absent market ids to the market-day aggregation that follows.
+    """
     out = rename_and_default(df)
     out = out.withColumn("state", canonical_state(F.col("state")))
     out = out.withColumn("source_tier", F.when(F.col("source_tier") == "", infer_source_tier(F.col("source"), F.col("data_mode")))
@@ -101,8 +104,10 @@ def normalize_prices(df: DataFrame, order: list[str] | None = None) -> DataFrame
     out = row_rules(coerce_types(out))
     extra = [c for c in ("market_id",) if c in out.columns]
     out = out.select(*PRICE_COLUMNS, *extra, *[c for c in (order or []) if c not in PRICE_COLUMNS])
-    out = ensure_market_id(keep_last(out, ROW_KEY, order or []))
-    return out.select(*PRICE_COLUMNS, "market_id")
+    out = keep_last(out, ROW_KEY, order or [])
+    if not with_id and not extra:
+        return out.select(*PRICE_COLUMNS)
+    return ensure_market_id(out).select(*PRICE_COLUMNS, "market_id")
 
 
 def market_metadata(df: DataFrame, order: list[str]) -> DataFrame:

@@ -34,7 +34,10 @@ def aggregate_market_daily(df: DataFrame, unbounded_groups: bool = False) -> Dat
     per group. ``unbounded_groups=True`` takes the medians by bucketed selection instead, for raw input in which
     one market-day may hold a large share of all rows.
     """
-    df = ensure_market_id(df)
+    if "market_id" in df.columns:
+        df = ensure_market_id(df)
+    # an id that follows from state, district and market is derived once per market-day instead of once per row
+    keys = [k for k in MARKET_DAY_KEY if k in df.columns]
     if "arrival_unit" not in df.columns:
         df = df.withColumn("arrival_unit", F.lit("UNKNOWN"))
     unit = F.trim(F.coalesce(F.col("arrival_unit"), F.lit("")))
@@ -49,11 +52,11 @@ def aggregate_market_daily(df: DataFrame, unbounded_groups: bool = False) -> Dat
     if not unbounded_groups:
         # the distinct-variety count as a set keeps this a single shuffle; the set is as small as the group
         other[0] = F.size(F.collect_set("variety")).cast("bigint").alias("varieties")
-        return df.groupBy(*MARKET_DAY_KEY).agg(*[median(F.col(p)).alias(p) for p in prices], *other)
-    meds = exact_medians(df, MARKET_DAY_KEY, {p: p for p in prices})
-    rest = df.groupBy(*MARKET_DAY_KEY).agg(*other)
-    return join_on(rest, meds, MARKET_DAY_KEY, "left").select(
-        *MARKET_DAY_KEY, *prices, "varieties", "source", "source_tier", "arrivals", "arrival_unit")
+        out = df.groupBy(*keys).agg(*[median(F.col(p)).alias(p) for p in prices], *other)
+    else:
+        meds = exact_medians(df, keys, {p: p for p in prices})
+        out = join_on(df.groupBy(*keys).agg(*other), meds, keys, "left")
+    return ensure_market_id(out).select(*MARKET_DAY_KEY, *prices, "varieties", "source", "source_tier", "arrivals", "arrival_unit")
 
 
 def merge_market_daily(existing: DataFrame | None, incoming: DataFrame | None) -> DataFrame:

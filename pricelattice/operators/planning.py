@@ -29,7 +29,8 @@ def resolve_names(requests: DataFrame, catalog: DataFrame, name: str, key: str,
     """Match requested names: case-folded equality first, else a unique substring match.
 
     ``requests`` has one row per name a user typed. Every request gets a status: matched, ambiguous or unknown. The
-    substring test runs only for requests without an exact match, over the distinct catalog names.
+    substring test covers only requests without an exact match. It is an equi-join on the substrings of the distinct
+    catalog names, which are short, so no request is compared with every name.
     """
     def fold(c: Column) -> Column:
         return F.lower(F.trim(canonical_state(c) if states else c))
@@ -39,7 +40,11 @@ def resolve_names(requests: DataFrame, catalog: DataFrame, name: str, key: str,
     one = cat.groupBy("__f").agg(F.min(F.struct(F.col(key), F.col(name))).alias("m"))
     exact = req.join(one, req["__t"] == one["__f"]).select("name", "m", F.lit("matched").alias("status"))
     rest = req.join(exact.select("name"), "name", "left_anti")
-    found = rest.join(cat, F.contains(cat["__f"], rest["__t"]), "left").groupBy("name").agg(
+    size = F.length("__f")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(
+        F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("__f"), i, n))))
+    inside = cat.where(size > 0).select(F.col(key), F.col(name), F.explode(F.array_distinct(F.array_append(pieces, F.lit("")))).alias("__t"))
+    found = rest.join(inside, "__t", "left").groupBy("name").agg(
         F.count(F.col(key)).alias("k"), F.min(F.struct(F.col(key), F.col(name))).alias("m"))
     status = F.when(F.col("k") == 1, "matched").when(F.col("k") > 1, "ambiguous").otherwise("unknown")
     part = found.select("name", F.when(F.col("k") == 1, F.col("m")).alias("m"), status.alias("status"))

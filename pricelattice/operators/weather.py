@@ -39,13 +39,15 @@ def id_overlap(prices: DataFrame, weather: DataFrame) -> DataFrame:
     return out.withColumn("overlap_ratio", F.col("shared_ids") / F.greatest(F.lit(1), F.least("price_ids", "weather_ids")))
 
 
-def join_market_weather(prices: DataFrame, weather: DataFrame) -> DataFrame:
+def join_market_weather(prices: DataFrame, weather: DataFrame, key: str | None = None) -> DataFrame:
     """Left join on (date, market id), or on (date, name) when ids barely overlap and names are unique.
 
-    The key depends on the data, so a one-row statistics job runs first.
+    That choice depends on the data, so a one-row statistics job runs first unless the caller names the key.
     """
     p, w = ensure_market_id(prices), weather_anomalies(weather)
-    if not {"market", "market_id"} <= set(w.columns):
+    if key:
+        pass
+    elif not {"market", "market_id"} <= set(w.columns):
         key = "market_id" if "market_id" in w.columns else "market"
     else:
         s = id_overlap(p, w).first()

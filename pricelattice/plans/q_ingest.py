@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import planning as pl, readiness as rd
-from ..sources import envelopes as en, imports as im, warehouse as wh
+from ..sources import envelopes as en, imports as im, sinks, warehouse as wh
 from . import oracle as o
 from .queries import query
 
@@ -222,3 +222,8 @@ def _(spark, d):
     CASE WHEN weather_market_coverage >= 0.6 THEN 'PASS' ELSE 'WARN' END]) AS status FROM s""")
 def _(spark, d):
     return rd.readiness_gates(_summary(spark, d)).select("gate", "status")
+
+
+@query("snk06_file_hashes")
+def _(spark, d):
+    return sinks.file_hashes(spark, d, "*.parquet")

@@ -45,7 +45,7 @@ def _(spark, d):
 
 @query("src01_panel_scan", o.select(TEXT + ", again AS (" + o.AGGREGATE.format(mid="market_id", src="norm") + ")", PANEL_COLS, "again"))
 def _(spark, d):
-    return pan.aggregate_market_daily(nrm.normalize_prices(wh.text_rows(spark, d), wh.INGEST_ORDER))
+    return pan.aggregate_market_daily(nrm.normalize_prices(wh.text_rows(spark, d), wh.INGEST_ORDER, with_id=False))
 
 
 @query("src04_data_mode_probe", "WITH " + o.rows() + " SELECT CASE WHEN bool_and(upper(data_mode) = 'DEMO') THEN 'DEMO' ELSE 'REAL' END AS data_mode FROM price_rows")
@@ -200,7 +200,7 @@ def _(spark, d):
     + 0.15 * density + 0.10 * arrival_availability AS coverage_score FROM c)""",
     "commodity:s states:i markets:i observations:i density:f arrival_availability:f coverage_score:f", "s"))
 def _(spark, d):
-    return cov.commodity_coverage_score(cov.coverage_audit(wh.panel(spark, d, typed=True)))
+    return cov.commodity_coverage_score(cov.coverage_audit(wh.stored_panel(spark, d, typed=True)))
 
 
 @query("agg04_price_dispersion", o.select(o.panel(True, True) + """, g AS (SELECT date, commodity, count(*) AS markets, quantile_cont(modal_price, 0.5) AS med,
@@ -211,7 +211,7 @@ def _(spark, d):
     CASE WHEN markets >= 2 THEN cv_ END AS cv, CASE WHEN markets >= 2 THEN gap_ END AS relative_gap FROM g JOIN dv ON g.date = dv.date AND g.commodity = dv.commodity)""",
     "date:d commodity:s markets:i median_price:f iqr:f mad:f cv:f relative_gap:f", "r"))
 def _(spark, d):
-    return cov.price_dispersion(wh.panel(spark, d, typed=True, fine=True))
+    return cov.price_dispersion(wh.stored_panel(spark, d, typed=True, fine=True))
 
 
 QUALITY = """SELECT count(*) AS rows, count(DISTINCT state) AS states, count(DISTINCT market_id) AS markets, count(DISTINCT commodity) AS commodities,
@@ -224,7 +224,7 @@ QUALITY = """SELECT count(*) AS rows, count(DISTINCT state) AS states, count(DIS
     (SELECT string_agg(DISTINCT t, ',' ORDER BY t) FROM (SELECT unnest(string_split(source_tier, ',')) AS t FROM panel)) AS source_tiers FROM panel)""",
     "rows:i states:i markets:i commodities:i missing_arrivals_pct:f invalid_price_order_rows:i duplicate_key_rows:i source_tiers:s", "q"))
 def _(spark, d):
-    return cov.quality_summary(wh.panel(spark, d, typed=True))
+    return cov.quality_summary(wh.stored_panel(spark, d, typed=True))
 
 
 @query("agg05_quality_of_raw_rows", o.select(o.rows(True) + ", m AS (SELECT *, " + o.MID + " AS market_id FROM price_rows), q AS (" + QUALITY + """,
@@ -273,7 +273,7 @@ def _metric_rows(src, keys):
 @query("agg10_quality_before_after", o.select(o.panel(True) + f""", a AS ({_metric_rows('price_rows', o.KEYS)}), b AS ({_metric_rows('panel', 'date, market_id, commodity')}),
   r AS (SELECT a.metric, a.v AS raw, b.v AS processed FROM a JOIN b ON a.metric = b.metric)""", "metric:s raw:i processed:i", "r"))
 def _(spark, d):
-    return cov.quality_before_after(wh.price_rows(spark, d, typed=True), wh.panel(spark, d, typed=True), ROW_KEY, PANEL_KEY)
+    return cov.quality_before_after(wh.price_rows(spark, d, typed=True), wh.stored_panel(spark, d, typed=True), ROW_KEY, PANEL_KEY)
 
 
 @query("agg11_dataset_statistics", "WITH " + o.panel(True) + o.COORDS + """, a AS (SELECT count(*) AS n, count(DISTINCT state) AS st, count(DISTINCT district) AS di,
@@ -283,7 +283,7 @@ def _(spark, d):
       (SELECT CAST(count(*) AS VARCHAR) FROM price_rows), (SELECT CAST(count(*) AS VARCHAR) FROM coords)]) AS value FROM a""")
 def _(spark, d):
     m = wh.coordinates(spark, d)
-    x = cov.dataset_statistics(wh.price_rows(spark, d, typed=True), wh.panel(spark, d, typed=True), m)
+    x = cov.dataset_statistics(wh.price_rows(spark, d, typed=True), wh.stored_panel(spark, d, typed=True), m)
     rows = m.agg(F.lit("coordinate_rows").alias("metric"), F.count(F.lit(1)).cast("string").alias("value"))
     return x.where(~F.col("metric").isin("arrival_coverage", "coordinate_coverage")).unionByName(rows)
 
@@ -300,7 +300,7 @@ def _(spark, d):
     any_value(lat) AS lat, any_value(lon) AS lon FROM t JOIN xy ON t.st = xy.st GROUP BY ALL)""",
     "commodity:s state:s markets:i observations:i modal_price:f lat:f lon:f", "r"))
 def _(spark, d):
-    return cov.state_map_frame(wh.panel(spark, d, typed=True), wh.coordinates(spark, d))
+    return cov.state_map_frame(wh.stored_panel(spark, d, typed=True), wh.coordinates(spark, d))
 
 
 @query("agg15_density_pivot", o.select(AUDIT + """, r AS (SELECT state, avg(reporting_density) FILTER (commodity = 'ECONOMY') AS economy,
@@ -314,7 +314,7 @@ def _(spark, d):
     quantile_cont(modal_price, 0.5) AS median_price FROM panel WHERE commodity = 'ECONOMY')""",
     "observations:i markets:i date_min:d date_max:d median_price:f", "r"))
 def _(spark, d):
-    return cov.kpis(nrm.scope_filter(wh.panel(spark, d, typed=True), "ECONOMY"))
+    return cov.kpis(nrm.scope_filter(wh.stored_panel(spark, d, typed=True), "ECONOMY"))
 
 
 @query("agg18_panel_status", o.select(o.panel(True) + o.COORDS + "," + o.SIGNAL_BODY + """, r AS (SELECT count(*) AS observations, count(DISTINCT state) AS states,
@@ -324,7 +324,7 @@ def _(spark, d):
     (SELECT count(*) FROM signal) AS weather_rows, (SELECT count(DISTINCT market_id) FROM signal) AS weather_markets FROM panel)""",
     "observations:i states:i markets:i commodities:i date_min:d date_max:d data_mode:s source_tiers:s coordinate_coverage:f weather_rows:i weather_markets:i", "r"))
 def _(spark, d):
-    return cov.panel_status(wh.panel(spark, d, typed=True), wh.coordinates(spark, d), wh.daily_signal(spark, d))
+    return cov.panel_status(wh.stored_panel(spark, d, typed=True), wh.coordinates(spark, d), wh.daily_signal(spark, d))
 
 
 # ---------- selection, top-k, sets ----------
@@ -343,12 +343,12 @@ SCOPE_COLS = ("commodity:s states:i state_coverage_ratio:f markets:i observation
 
 @query("sel01_commodity_scope", o.select(SCOPE, SCOPE_COLS, "t"))
 def _(spark, d):
-    return cov.commodity_scope_table(wh.panel(spark, d, typed=True), SCOPE_POLICY)
+    return cov.commodity_scope_table(wh.stored_panel(spark, d, typed=True), SCOPE_POLICY)
 
 
 @query("sel02_recommended", o.select(SCOPE, "commodity:s coverage_score:f", "t WHERE recommended"))
 def _(spark, d):
-    return cov.recommended_commodities(cov.commodity_scope_table(wh.panel(spark, d, typed=True), SCOPE_POLICY)).select("commodity", "coverage_score")
+    return cov.recommended_commodities(cov.commodity_scope_table(wh.stored_panel(spark, d, typed=True), SCOPE_POLICY)).select("commodity", "coverage_score")
 
 
 @query("pln08_jn14_scope_choice", "WITH " + o.panel(True) + """

@@ -172,12 +172,12 @@ def _(spark, d):
 
 @query("cmp02_influence_scores")
 def _(spark, d):
-    return gr.influence_scores(ll.lead_lag_edges(wh.stored_panel(spark, d, typed=True), TYPED_PAIRS))
+    return gr.influence_scores(ll.lead_lag_edges(wh.panel(spark, d, typed=True), TYPED_PAIRS))
 
 
 @query("top02_top_influence")
 def _(spark, d):
-    s = gr.influence_scores(ll.lead_lag_edges(wh.stored_panel(spark, d), GATED))
+    s = gr.influence_scores(ll.lead_lag_edges(wh.panel(spark, d), GATED))
     return ev.top_n(s, [F.desc("influence_score"), F.col("market_id")], 10)
 
 
@@ -276,7 +276,7 @@ SUPPLY_BASE = f""", q AS (SELECT commodity, arrivals, modal_price FROM panel WHE
 
 @query("sta01_supply_price", o.select(o.panel(True) + SUPPLY_BASE, "commodity:s n:i spearman_rho:f spearman_p:f loglog_beta:f beta_p:f r_squared:f", "r"))
 def _(spark, d):
-    return pr.supply_price_stats(wh.panel(spark, d, typed=True), ["commodity"])
+    return pr.supply_price_stats(wh.stored_panel(spark, d, typed=True), ["commodity"])
 
 
 @query("sta02_fnt_pearson", o.select(o.panel(True) + f""", s AS (SELECT state, count(*) AS n, corr(arrivals, modal_price) AS r FROM panel WHERE arrivals IS NOT NULL GROUP BY ALL),
@@ -412,7 +412,7 @@ EVENT = JOINED + """, e0 AS (SELECT * FROM jw WHERE abs(rainfall_anomaly_z) >= 2
 
 
 def _study(spark, d):
-    return we.event_study(we.join_market_weather(wh.stored_panel(spark, d), wh.daily_signal(spark, d)), policy=EventPolicy())
+    return we.event_study(we.join_market_weather(wh.panel(spark, d), wh.daily_signal(spark, d), "market_id"), policy=EventPolicy())
 
 
 @query("cmp08_jn08_jn09_event_study", o.select(EVENT, "market_id:s market:s state:s commodity:s event_date:d baseline_date:d response_date:d horizon_days:i weather_z:f event_sign:s price_change_pct:f arrival_change_pct:f", "es"))
@@ -422,7 +422,7 @@ def _(spark, d):
 
 @query("win12_declustered_events", o.select(EVENT, "commodity:s market_id:s date:d rainfall_anomaly_z:f", "e3"))
 def _(spark, d):
-    x = we.join_market_weather(wh.stored_panel(spark, d), wh.daily_signal(spark, d)).where(F.abs("rainfall_anomaly_z") >= 2)
+    x = we.join_market_weather(wh.panel(spark, d), wh.daily_signal(spark, d), "market_id").where(F.abs("rainfall_anomaly_z") >= 2)
     return we.decluster(x, ["commodity", "market_id"], "rainfall_anomaly_z", 2).select("commodity", "market_id", "date", "rainfall_anomaly_z")
 
 

@@ -70,7 +70,7 @@ def canonicalize_export(df: DataFrame, *, state: str | None = None, district: st
 def import_panel(raw: DataFrame, existing: DataFrame | None, source: str, tier: str, order: list[str] | None = None) -> DataFrame:
     """Stamp provenance, normalise, aggregate to market days and merge into the panel."""
     x = raw.withColumns({"source": F.lit(source), "source_tier": F.lit(tier), "data_mode": F.lit("REAL")})
-    return merge_market_daily(existing, aggregate_market_daily(normalize_prices(x, order)))
+    return merge_market_daily(existing, aggregate_market_daily(normalize_prices(x, order, with_id=False)))
 
 
 def import_generic(raw: DataFrame, existing: DataFrame | None, tier: str, source: str | None = None, order: list[str] | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def import_generic(raw: DataFrame, existing: DataFrame | None, tier: str, source
         raise ValueError("generic imports may only be " + " or ".join(GENERIC_IMPORT_TIERS))
     if source is None and "source" in raw.columns:
         x = raw.withColumns({"source_tier": F.lit(tier), "data_mode": F.lit("REAL")})
-        return merge_market_daily(existing, aggregate_market_daily(normalize_prices(x, order)))
+        return merge_market_daily(existing, aggregate_market_daily(normalize_prices(x, order, with_id=False)))
     return import_panel(raw, existing, source or "USER_IMPORT", tier, order)
 
 

@@ -30,7 +30,7 @@ def read_text_csv(spark: SparkSession, path: str, schema: str | None = None) ->
 def load_prices(spark: SparkSession, path: str) -> DataFrame:
     """A processed panel (Parquet or CSV) normalised and aggregated again, so foreign rows meet the same rules."""
     raw = read_text_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
-    return aggregate_market_daily(normalize_prices(raw))
+    return aggregate_market_daily(normalize_prices(raw, with_id=False))
 
 
 def load_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ..spec import RAW_SCHEMA
 
 def merge_batch(spark: SparkSession, raw: DataFrame, panel_path: str) -> None:
     if not raw.isEmpty():
-        upsert_panel(spark, aggregate_market_daily(normalize_prices(raw)), panel_path)
+        upsert_panel(spark, aggregate_market_daily(normalize_prices(raw, with_id=False)), panel_path)
 
 
 def ingest_folder(spark: SparkSession, landing: str, panel_path: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
