@@ -10,6 +10,22 @@ from .coverage import tier_set
 from .normalize import ensure_market_id
 
 
+# what a reader of the gate table needs to know about each gate
+GATE_NOTES = {
+    "real_data_only": "every observation must be real",
+    "nonempty_selected_scope": "the scope must hold observations",
+    "source_provenance_present": "at least one source must be named",
+    "paper_acceptable_source_tier": "only official or curated official sources count as evidence",
+    "temporal_span": "a short span says little about seasons",
+    "state_breadth": "few states do not support national statements",
+    "market_breadth": "a network needs several well observed markets",
+    "observation_volume": "small panels give unstable estimates",
+    "arrival_availability": "crunch and supply analyses need quantities",
+    "coordinate_coverage": "maps and distance analyses need coordinates",
+    "weather_market_coverage": "weather studies should cover most markets",
+}
+
+
 def in_scope(df: DataFrame, commodities: list[str], start: str, end: str) -> DataFrame:
     wanted = [c.strip() for c in commodities if c.strip()]
     return ensure_market_id(df).where(
@@ -56,7 +72,7 @@ def readiness_summary(prices: DataFrame, markets: DataFrame | None, weather: Dat
 
 
 def readiness_gates(summary: DataFrame, policy: ReadinessPolicy = ReadinessPolicy()) -> DataFrame:
-    """The gates as rows (gate, status, value, threshold); hard gates fail, soft ones warn."""
+    """The gates as rows (gate, status, value, threshold, detail); hard gates fail, soft ones warn."""
     tiers = F.col("source_tiers")
 
     def listed(c: str) -> Column:
@@ -64,7 +80,8 @@ def readiness_gates(summary: DataFrame, policy: ReadinessPolicy = ReadinessPolic
 
     def gate(name: str, ok: Column, value: Column, threshold: str, hard: bool) -> Column:
         return F.struct(F.lit(name).alias("gate"), F.when(ok, "PASS").otherwise("FAIL" if hard else "WARN").alias("status"),
-                        value.cast("string").alias("value"), F.lit(threshold).alias("threshold"))
+                        value.cast("string").alias("value"), F.lit(threshold).alias("threshold"),
+                        F.lit(GATE_NOTES[name]).alias("detail"))
 
     def at_least(name: str, column: str, limit, places: int | None = None) -> Column:
         v = F.col(column)

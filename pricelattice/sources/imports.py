@@ -10,22 +10,27 @@ from ..operators.normalize import normalize_prices
 from ..operators.panel import aggregate_market_daily, merge_market_daily
 from ..spec import GENERIC_IMPORT_TIERS
 
-QTY = ("arrival", "quantity", "qty")
-# fixed heading rules: canonical column -> ordered tests on the normalised heading
-HEADING_RULES = {
-    "date": [lambda h: h in ("date", "reported_date", "arrival_date", "period"), lambda h: "date" in h],
-    "state": [lambda h: h in ("state", "state_name")],
-    "district": [lambda h: h in ("district", "district_name")],
-    "market": [lambda h: h in ("market", "market_name", "mandi", "mandi_name")],
-    "commodity": [lambda h: h in ("commodity", "commodity_name", "crop", "crop_name")],
-    "variety": [lambda h: h in ("variety", "variety_name")],
-    "grade": [lambda h: h in ("grade", "grade_name")],
-    "min_price": [lambda h: "price" in h and "min" in h],
-    "max_price": [lambda h: "price" in h and "max" in h],
-    "modal_price": [lambda h: "price" in h and ("modal" in h or "mode" in h)],
-    "arrivals": [lambda h: any(q in h for q in QTY) and "date" not in h and "unit" not in h],
-    "arrival_unit": [lambda h: any(q in h for q in QTY) and "unit" in h],
+# ---- fixed heading vocabulary ----
+# canonical column -> headings that mean exactly that column
+EXACT_HEADINGS = {
+    "date": ["date", "reported_date", "arrival_date", "period"],
+    "state": ["state", "state_name"],
+    "district": ["district", "district_name"],
+    "market": ["market", "market_name", "mandi", "mandi_name"],
+    "commodity": ["commodity", "commodity_name", "crop", "crop_name"],
+    "variety": ["variety", "variety_name"],
+    "grade": ["grade", "grade_name"],
 }
+# canonical column -> fragments of which one must occur, fragment that must occur, fragments that must not
+FRAGMENT_HEADINGS = {
+    "date": (["date"], "", []),
+    "min_price": (["min"], "price", []),
+    "max_price": (["max"], "price", []),
+    "modal_price": (["modal", "mode"], "price", []),
+    "arrivals": (["arrival", "quantity", "qty"], "", ["date", "unit"]),
+    "arrival_unit": (["arrival", "quantity", "qty"], "unit", []),
+}
+# ---- end of fixed values ----
 REQUIRED = ("date", "state", "market", "commodity", "modal_price")
 # fixed provenance per dedicated route: (source label, tier)
 ROUTES = {
@@ -40,14 +45,18 @@ def heading_key(name: str) -> str:
 
 
 def map_headings(columns: list[str]) -> dict[str, str]:
-    """Incoming heading -> canonical column, first match per rule; only column names are looked at."""
-    keyed = [(c, heading_key(c)) for c in columns]
-    out: dict[str, str] = {}
-    for target, tests in HEADING_RULES.items():
-        hit = next((c for test in tests for c, k in keyed if test(k)), None)
-        if hit is not None:
-            out[hit] = target
-    return out
+    """Incoming heading -> canonical column, from column names alone; exact headings come before fragments."""
+    keys = {c: heading_key(c) for c in columns}
+    found: dict[str, str] = {}
+    for target, names in EXACT_HEADINGS.items():
+        found |= {target: c for c in reversed(columns) if keys[c] in names}
+    for target, (some, must, never) in FRAGMENT_HEADINGS.items():
+        if target in found:
+            continue
+        hits = [c for c in columns if any(f in keys[c] for f in some) and must in keys[c] and not any(f in keys[c] for f in never)]
+        if hits:
+            found[target] = hits[0]
+    return {c: target for target, c in found.items()}
 
 
 def canonicalize_export(df: DataFrame, *, state: str | None = None, district: str | None = None, market: str | None = None,
