@@ -47,9 +47,13 @@ def write_result(df: DataFrame, folder: str, name: str) -> None:
     (w.partitionBy("commodity") if "commodity" in df.columns else w).parquet(f"{folder}/{name}")
 
 
-def file_hashes(spark: SparkSession, folder: str, keep: str = "*") -> DataFrame:
-    """(path, sha256, bytes) of every file below a folder; one file per row, hashed on the executors."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", keep).load(folder)
+def file_hashes(spark: SparkSession, folder: str, keep: str = "*", skip_unreadable: bool = False) -> DataFrame:
+    """(path, sha256, bytes) of every file below a folder; one file per row, hashed on the executors.
+
+    ``skip_unreadable`` leaves out files that the file system itself refuses to read, for verification only.
+    """
+    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", keep)
+           .option("ignoreCorruptFiles", skip_unreadable).load(folder))
     root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     # paths relative to the folder, so a snapshot can be moved
     rel = F.element_at(F.split(F.col("path"), root + "/", 2), 2)
@@ -131,12 +135,12 @@ def _compare(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def verify_snapshot(spark: SparkSession, target: str) -> DataFrame:
     """(path, status, expected, actual) for every data file and every manifest file.
 
-    Status is ok, mismatch, missing, unlisted (extra data file) or no digest (manifest file nobody vouches for).
+    Status is ok, mismatch, missing (or refused by the file system's own checksum), unlisted (extra data file) or no digest (manifest file nobody vouches for).
     """
     if not path_exists(spark, f"{target}/manifest"):
         return spark.createDataFrame([("manifest", "missing", None, None)], "path string, status string, expected string, actual string")
     # checksums are the point here, so read the manifest's own digest before trusting the manifest
-    own = file_hashes(spark, f"{target}/manifest")
+    own = file_hashes(spark, f"{target}/manifest", skip_unreadable=True)
     if path_exists(spark, f"{target}/manifest_digest"):
         digest = spark.read.schema("path string, sha256 string, bytes bigint").json(f"{target}/manifest_digest")
     else:
@@ -144,7 +148,7 @@ def verify_snapshot(spark: SparkSession, target: str) -> DataFrame:
     meta = _compare(digest, own).withColumns({
         "path": F.concat(F.lit("manifest/"), F.col("path")),
         "status": F.when(F.col("status") == "unlisted", "no digest").otherwise(F.col("status"))})
-    files = _compare(spark.read.parquet(f"{target}/manifest"), file_hashes(spark, f"{target}/{DATA}"))
+    files = _compare(spark.read.parquet(f"{target}/manifest"), file_hashes(spark, f"{target}/{DATA}", skip_unreadable=True))
     return meta.unionByName(files)
 
 

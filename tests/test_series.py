@@ -138,6 +138,9 @@ def test_snapshot_verify_tamper_and_analysis(spark, folder):
     part = glob.glob(f"{target}/data/readiness/*.json")[0]
     with open(part, "a") as fh:
         fh.write("\n")
+    # a local disk refuses the file by its sidecar checksum; without the sidecar our own hash must notice
+    assert not sinks.snapshot_ok(sinks.verify_snapshot(spark, target))
+    os.remove(os.path.join(os.path.dirname(part), "." + os.path.basename(part) + ".crc"))
     bad = {r.status for r in sinks.verify_snapshot(spark, target).collect()}
     assert "mismatch" in bad
     with pytest.raises(ValueError, match="mismatch"):
