@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixture, sql, token_counts
+from . import chat, mixture, secrets, sql, token_counts
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,11 +18,24 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = F.col("findings")
+    count = [secrets.count(found, kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    return secrets.findings(table(spark, folder, "documents")).select(
+        "doc_id", *count, F.sha2(secrets.spans(found, secrets.BASE), 256).alias("base_sha256"), secrets.spans(found).alias("spans"))
+
+
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    return chat.digests(chat.render(given.unionByName(spark.createDataFrame(tricky, given.schema))))
+
+
 def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents")).drop("copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op10_mixture)
+    f.__name__: f for f in (op2_token_counts, op7_secrets, op8_chat, op10_mixture)
 }
-ORACLES: dict[str, str] = {"op10_mixture": sql.MIXTURE}
+ORACLES: dict[str, str] = {"op7_secrets": sql.secrets(), "op8_chat": sql.chat(), "op10_mixture": sql.MIXTURE}

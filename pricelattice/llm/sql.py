@@ -45,3 +45,47 @@ def mixture(folder_weights=(5, 2, 1), repeats: int = 3, fills: int = 2, seed: st
 
 
 MIXTURE = mixture()
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def secrets() -> str:
+    """Every rule by the same split: lengths between matches and of matches, summed up to each match."""
+    from .secrets import BASE, RULES
+    found = []
+    for rank, (kind, pattern, group, least) in enumerate(RULES):
+        rx = _literal(pattern)
+        found.append(f"""
+        SELECT row, {rank} AS rank, '{kind}' AS kind, s AS start, s + length(m) AS "end" FROM (
+            SELECT row, unnest(ms) AS m, unnest(ps) AS p, unnest(list_transform(range(1, len(ms) + 1), lambda k:
+                list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))) AS s
+            FROM (SELECT row, regexp_extract_all(t, {rx}) AS ms, regexp_extract_all(t, {rx}, {group}) AS ps, string_split_regex(t, {rx}) AS gaps
+                FROM docs WHERE regexp_matches(t, {rx}))) WHERE length(p) >= {least}""")
+    base = ", ".join(f"'{k}'" for k in BASE)
+    piece = "kind || ':' || start || ':' || \"end\""
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+        found AS ({" UNION ALL ".join(found)})
+    SELECT doc_id, {counts},
+        sha256(coalesce(string_agg({piece}, ',' ORDER BY start, rank) FILTER (kind IN ({base})), '')) AS base_sha256,
+        coalesce(string_agg({piece}, ',' ORDER BY start, rank), '') AS spans
+    FROM docs LEFT JOIN found USING (row) GROUP BY docs.row, doc_id"""
+
+
+def chat() -> str:
+    import re
+
+    from .chat import CONTROLS, END, START
+    controls = "|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in CONTROLS)
+    return f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum({len(START) + len(END) + 2} + length(role) + length(text) + len(regexp_extract_all(text, {_literal(controls)})))::BIGINT AS formatted_chars
+    FROM turns GROUP BY conv_id"""
