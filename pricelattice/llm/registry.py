@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixture, secrets, sql, token_counts
+from . import chat, html_paths, mixture, secrets, sql, token_counts, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,14 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_html_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return html_paths.extract(table(spark, folder, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = F.col("findings")
     count = [secrets.count(found, kind).alias(f"n_{kind}") for kind in secrets.BASE]
@@ -36,6 +44,6 @@ def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op7_secrets, op8_chat, op10_mixture)
+    f.__name__: f for f in (op2_token_counts, op3_html_paths, op6_toxicity, op7_secrets, op8_chat, op10_mixture)
 }
 ORACLES: dict[str, str] = {"op7_secrets": sql.secrets(), "op8_chat": sql.chat(), "op10_mixture": sql.MIXTURE}
