@@ -32,6 +32,7 @@ BLOCK = frozenset("""html body main article section div p h1 h2 h3 h4 h5 h6 ul o
 CONTAINER = frozenset("body main article section div td".split())
 ASIDE = frozenset("nav header footer aside dialog menu".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names and roles of parts that are not the article.
 SIDE_WORDS = re.compile(
@@ -128,12 +129,12 @@ def blocks(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], lis
             flush()
             # an open paragraph ends where a block begins, and so do its unclosed inline elements
             k = len(stack) - 1
-            while k and stack[k].tag not in BLOCK:
+            while k and stack[k].tag in INLINE:
                 k -= 1
             if stack[k].tag == "p" or (stack[k].tag in HEADINGS and tag in HEADINGS):
                 while len(stack) > k:
                     pop()
-            elif k < len(stack) - 1 and all(n.tag != "a" for n in stack[k + 1:]):
+            elif all(n.tag != "a" for n in stack[k + 1:]):
                 while len(stack) > k + 1:
                     pop()
             same = CLOSES.get(tag, "").split()
@@ -191,7 +192,7 @@ def text_of(page: tuple[list, list[_Node]], paths: list[str]) -> str:
     found, nodes = page
     for path in [*paths, *(p for p, _ in votes(page))]:
         inside = {k for k, n in enumerate(nodes) if n.path == path and not n.side}
-        lines = [t for t, where, side, linked in found if not side and not inside.isdisjoint(where) and 2 * linked <= len(t) + (len(t) > 200)]
+        lines = [t for t, where, side, _ in found if not side and not inside.isdisjoint(where)]
         if lines:
             return "\n".join(lines)
     return "\n".join(t for t, _, side, linked in found if not side and 2 * linked <= len(t))
