@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_paths, mixture, secrets, sql, token_counts, toxicity
+from . import chat, html_paths, mixture, secrets, sql, token_counts, toxicity, trie_join
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,11 +39,15 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.render(given.unionByName(spark.createDataFrame(tricky, given.schema))))
 
 
+def op9_trie_join(spark: SparkSession, folder: str) -> DataFrame:
+    return trie_join.similar(table(spark, folder, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents")).drop("copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_html_paths, op6_toxicity, op7_secrets, op8_chat, op10_mixture)
+    f.__name__: f for f in (op2_token_counts, op3_html_paths, op6_toxicity, op7_secrets, op8_chat, op9_trie_join, op10_mixture)
 }
 ORACLES: dict[str, str] = {"op7_secrets": sql.secrets(), "op8_chat": sql.chat(), "op10_mixture": sql.MIXTURE}
