@@ -30,7 +30,7 @@ from .common import documents
 
 BUCKETS, DIM = 1 << 16, 8
 GRAMS = (3, 4, 5)
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 6_000
 EPOCHS, BATCH, RATE, DECAY = 5, 64, 0.05, 1e-4
 #: N-grams of fewer training texts than this keep no vector.
 LEAST_TEXTS = 10
@@ -97,9 +97,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS), -40.0 if share == 0 else 40.0)
-    texts = np.bincount(np.concatenate([i for i, _ in rows]), minlength=BUCKETS)
+    texts = np.zeros(BUCKETS, np.int64)
+    for index, _ in rows:
+        texts[index] += 1
     kept = texts >= min(LEAST_TEXTS, 1 + len(rows) // 100)
-    rows = [(i[kept[i]], v[kept[i]] * np.float32(SCALE)) for i, v in rows]
     draw = np.random.default_rng(seed)
     params = [draw.uniform(-0.1, 0.1, (BUCKETS, dim)).astype(np.float32) / dim * kept[:, None], draw.normal(0, 0.5, (dim, 2)).astype(np.float32), np.array(
         [np.log(1 - share), np.log(share)], np.float32)]
@@ -111,9 +112,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
         rate = RATE * (1 - epoch / epochs)
         for start in range(0, len(order), BATCH):
             chosen = order[start:start + BATCH]
-            index = np.concatenate([rows[i][0] for i in chosen])
-            value = np.concatenate([rows[i][1] for i in chosen])
-            owner = np.repeat(np.arange(len(chosen)), [len(rows[i][0]) for i in chosen])
+            # rows stay as compact as they came (two bytes a number); only a batch is spread out
+            index = np.concatenate([rows[i][0] for i in chosen]).astype(np.int64)
+            owner = np.repeat(np.arange(len(chosen)), [len(rows[i][0]) for i in chosen])[kept[index]]
+            value = (np.concatenate([rows[i][1] for i in chosen])[kept[index]]).astype(np.float32) * np.float32(SCALE)
+            index = index[kept[index]]
             used, at = np.unique(index, return_inverse=True)
             dense = np.zeros((len(chosen), len(used)), np.float32)
             dense[owner, at] = value
@@ -159,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, folds: int =
                 "value": pa.array([v.astype(np.float16).tobytes() for _, v in made], pa.binary())})
 
     got = texts.mapInArrow(featurize, "doc_id string, toxic int, index binary, value binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    rows = [(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(v, np.float16).astype(np.float32)) for i, v in zip(got["index"], got["value"])]
+    rows = [(np.frombuffer(i, np.uint16), np.frombuffer(v, np.float16)) for i, v in zip(got["index"], got["value"])]
     return train(rows, got["toxic"].to_numpy())
 
 
