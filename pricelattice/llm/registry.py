@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_paths, mixture, secrets, sql, token_counts, toxicity, trie_join
+from . import chat, decision_list, decontaminate, html_paths, mixture, secrets, sql, token_counts, toxicity, trie_join
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,11 @@ def op3_html_paths(spark: SparkSession, folder: str) -> DataFrame:
     return html_paths.extract(table(spark, folder, "pages"))
 
 
+def op4_decision_list(spark: SparkSession, folder: str) -> DataFrame:
+    judged, _ = decision_list.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -52,6 +57,6 @@ def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_html_paths, op5_decontamination, op6_toxicity, op7_secrets, op8_chat, op9_trie_join, op10_mixture)
+    f.__name__: f for f in (op2_token_counts, op3_html_paths, op4_decision_list, op5_decontamination, op6_toxicity, op7_secrets, op8_chat, op9_trie_join, op10_mixture)
 }
 ORACLES: dict[str, str] = {"op7_secrets": sql.secrets(), "op8_chat": sql.chat(), "op10_mixture": sql.MIXTURE}
