@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decision_list, decontaminate, html_paths, mixture, secrets, sql, token_counts, toxicity, trie_join
+from . import chat, decision_list, decontaminate, html_paths, line_dedup, mixture, secrets, sql, token_counts, toxicity, trie_join
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.removed_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
@@ -57,6 +62,6 @@ def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_html_paths, op4_decision_list, op5_decontamination, op6_toxicity, op7_secrets, op8_chat, op9_trie_join, op10_mixture)
+    f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_paths, op4_decision_list, op5_decontamination, op6_toxicity, op7_secrets, op8_chat, op9_trie_join, op10_mixture)
 }
 ORACLES: dict[str, str] = {"op7_secrets": sql.secrets(), "op8_chat": sql.chat(), "op10_mixture": sql.MIXTURE}
