@@ -5,8 +5,9 @@ others class 0, and a digest fills the rest. Sets are sorted by it, rare n-grams
 task counts its own n-grams, reports those it saw repeatedly, Spark adds them up, and the ``HOT`` most frequent are broadcast
 (any order gives the same links, a good one gives fewer candidates).
 
-*Trie.* Two sets with Jaccard ``t`` or more share an n-gram among the first ``n - ceil(t n) + 1`` of each. Documents meet in
-the buckets of those n-grams that another document has as well. In a bucket the sorted sets are stored in a path-compressed
+*Trie.* Two sets with Jaccard ``t`` or more share an n-gram among the first ``n - ceil(t n) + 1`` of each, and ``k`` n-grams among the
+first ``n - ceil(t n) + k``. With ``k`` a twentieth of the set, a document with fewer such n-grams that another document has
+in its own first ones can't be linked and is left out; what remains, mostly real neighbours, meets in the buckets of shared n-grams. In a bucket the sorted sets are stored in a path-compressed
 trie, and each set is driven down it: the overlap so far is shared by all sets below a node, and a subtree is left as soon as
 no set below it can still reach the overlap that its lengths ask for.
 
@@ -23,46 +24,37 @@ further columns are ignored. Digests have 58 bits and are compared within a pair
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import PART, run_cells
 from .common import documents, stored
 from .components import components
+from .hashing import stir, word_codes
 
 #: Frequent n-grams that are broadcast (two integers each), and how many a task reports at most. Neither touches the links.
 HOT, LOCAL_HOT = 1 << 17, 1 << 15
-#: Sets that one trie holds at most; a larger bucket is searched in pairs of parts.
-PART = 128
+PEELS = 2
+#: Ids of candidates are broadcast (eight bytes each) up to this many, counted first; beyond it texts are shuffled to them.
+BROADCAST_IDS = 1_000_000
 
-_word = re.compile(rb"[^\x20\x09-\x0D]+")
-_upper = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
-
-
-def _stir(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _M1
-    x = (x ^ (x >> np.uint64(33))) * _M2
-    return x ^ (x >> np.uint64(33))
+_M3 = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
     """Sorted 58-bit digests of a text's distinct word n-grams, A-Z in lower case."""
-    words = _word.findall(text.translate(_upper))
-    if not words:
+    codes = word_codes(text)
+    if not len(codes):
         return np.empty(0, np.uint64)
-    codes = pd.util.hash_array(np.array([w.decode("utf-8", "replace") for w in words], dtype=object), categorize=False)
-    wide = min(n, len(words))
+    wide = min(n, len(codes))
     with np.errstate(over="ignore"):
-        mixed = np.zeros(len(words) - wide + 1, np.uint64)
+        mixed = np.full(len(codes) - wide + 1, np.uint64(wide))
         for k in range(wide):
-            mixed = _stir(mixed * _M3 + codes[k:len(words) - wide + 1 + k] + np.uint64(wide))
+            mixed = stir(mixed * _M3 + codes[k:len(codes) - wide + 1 + k])
     return np.unique(mixed >> np.uint64(6))
 
 
@@ -79,8 +71,14 @@ class Order:
         return np.sort(found).view(np.int64)
 
 
-def prefix_length(size: int, percent: int) -> int:
-    return size - -(-size * percent // 100) + 1 if size else 0
+def prefix_length(size: int, percent: int, shared: int = 1) -> int:
+    """First n-grams of a set among which it shares ``shared`` with every set that it links with."""
+    return min(size, size - -(-size * percent // 100) + shared)
+
+
+def common(size: int) -> int:
+    """N-grams that two linked sets of this size or more are asked to share among their first ones."""
+    return max(1, size // 20)
 
 
 def _bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -223,7 +221,7 @@ def sets_of(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
                 keys = shingles(text, n)
                 size.append(len(keys))
                 name.append(_digest(keys))
-                prefix.append(ranked.sort(keys)[:prefix_length(len(keys), percent)])
+                prefix.append(ranked.sort(keys)[:prefix_length(len(keys), percent, common(len(keys)))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
                 names=["doc_id", "size", "class", "prefix"])
@@ -236,35 +234,12 @@ def _digest(keys: np.ndarray) -> bytes:
 
 
 def _cells(members: DataFrame, percent: int) -> DataFrame:
-    """Run the trie over cells (``cell, id, label, keys``, a cell at most a few ``PART`` rows): edges ``a, b``, one star each."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, name = [], None
-
-        def close():
-            ids = [r[0] for r in held]
-            pairs = trie_links([np.frombuffer(r[2], np.int64) for r in held], [r[1] for r in held], percent)
-            return [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in pairs if ids[x] != ids[y]]
-
-        out: list[tuple[int, int]] = []
-        for batch in batches:
-            for cell, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "id", "label", "keys"))):
-                if cell != name:
-                    if len(held) > 1:
-                        out += close()
-                    held, name = [], cell
-                held.append(row)
-            if len(out) > 10_000:
-                yield _edges(out)
-                out = []
-        if len(held) > 1:
-            out += close()
-        yield _edges(out)
-
-    return members.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, "a bigint, b bigint")
-
-
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    """Edges ``a, b`` that tries find in cells (``cell, id, label, keys``) beyond what labels connect."""
+    def work(rows: list[tuple]) -> list[tuple[int, int]]:
+        ids = [r[0] for r in rows]
+        pairs = trie_links([np.frombuffer(r[2], np.int64) for r in rows], [r[1] for r in rows], percent)
+        return [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in pairs if ids[x] != ids[y]]
+    return run_cells(members, ["id", "label", "keys"], work)
 
 
 def similar(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -275,11 +250,19 @@ def similar(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     nodes = stored(rows.filter("size > 0 and doc_id is not null").groupBy("class").agg(
         F.min("doc_id").alias("id"), F.max("size").alias("size"), F.first("prefix").alias("prefix")), "classes")
 
-    # n-grams that two classes have in their prefixes
-    entries = nodes.select("id", F.explode("prefix").alias("gram"))
-    shared = stored(entries.groupBy("gram").agg(F.count("*").alias("held"), F.min("id").alias("anchor")).filter("held > 1"), "grams")
-    live = stored(entries.join(shared, "gram"), "live")
-    ids = live.select(F.col("id").alias("doc_id")).distinct()
+    # documents with enough n-grams that others have, too; twice, as those left out take their n-grams with them
+    size = F.col("size")
+    smallest = F.ceil(size * percent / 100)
+    entries = nodes.select("id", "size", F.posexplode("prefix").alias("at", "gram"))
+    for _ in range(PEELS):
+        shared = entries.groupBy("gram").agg(F.count("*").alias("held"), F.min("id").alias("anchor")).filter("held > 1")
+        entries = entries.select("id", "size", "at", "gram").join(shared, "gram")
+        enough = entries.groupBy("id").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter(
+            F.col("n") >= F.greatest(F.lit(1), F.floor(smallest / 20))).select("id")
+        entries = stored(entries.join(enough, "id"), "live")
+    # links need only the n-grams before the extension
+    live = entries.filter(F.col("at") <= size - smallest).select("id", "gram", "held", "anchor")
+    ids = stored(live.select(F.col("id").alias("doc_id")).distinct(), "ids")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = Order(*order.value)
@@ -287,7 +270,8 @@ def similar(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(
                 [ranked.sort(shingles(t, n)).tobytes() for t in _bytes(batch)], pa.binary())], names=["id", "keys"])
 
-    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(keys, "id bigint, keys binary").dropDuplicates(["id"]), "keys")
+    few = ids.count() <= BROADCAST_IDS
+    sets = stored(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(keys, "id bigint, keys binary"), "keys")
 
     # first each document in its largest bucket; parts of a large one share its anchor
     parts = F.greatest(F.lit(1), F.ceil(F.col("held") / PART)).cast("int")
