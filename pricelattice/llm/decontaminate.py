@@ -248,3 +248,22 @@ def _pass(docs: DataFrame, items: DataFrame, benchmark: DataFrame, rate: float)
 
     return documents(docs).mapInArrow(run, f"doc_id {kinds['doc_id'].simpleString()}, item_id {kinds['item_id'].simpleString()}, "
                                            "word_start bigint, word_end bigint, edits bigint, item_words bigint")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, most: int = SLICE) -> DataFrame:
+    """The rows of ``docs`` that hold no passage of the benchmark, with their columns as given; one map over the texts per slice."""
+    items = benchmark.filter("text is not null").select("item_id", "text")
+    slices = max(1, -(-items.count() // most))
+    for k in range(slices):
+        held = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()]
+        index = docs.sparkSession.sparkContext.broadcast((held, corpus_counts(docs, sorted({w for _, text in held for w in words(text)}))))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            known = Index(*index.value, rate)
+            for batch in batches:
+                kept = [not known.matches(t) for t in batch.column("text").to_pylist()]
+                yield batch.select(["row"]).filter(pa.array(kept, pa.bool_()))
+
+        whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+        docs = whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}").select("row.*")
+    return docs

@@ -84,7 +84,7 @@ def blocks(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], lis
             if text:
                 top = stack[-1]
                 out.append((text, top.inside, top.side, min(linked, len(text))))
-                for k in top.inside:
+                for k in top.inside if not top.side else ():
                     node = nodes[k]
                     node.text, node.links, node.blocks = node.text + len(text), node.links + min(linked, len(text)), node.blocks + 1
         linked = 0

@@ -285,9 +285,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with its texts freed of the removed lines, and ``n_lines_with_words, n_lines_removed`` beside the given columns."""
-    found = stored(removed_lines(docs, percent), "removed").select(F.col("doc_id").alias("of"), "n_lines", "removed")
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["of"]), "left")
-    rest = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
-    text = F.when(F.size("removed") > 0, rest).otherwise(F.col("text"))
-    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns), F.coalesce("n_lines", F.lit(0).cast("bigint")).alias("n_lines_with_words"),
-                         F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_lines_removed"))
+    found = stored(removed_lines(docs, percent), "removed")
+    given, of, removed, n_lines = docs["text"], found["doc_id"], found["removed"], found["n_lines"]
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(of), "left")
+    rest = F.array_join(F.filter(F.split(given, "\n"), lambda x, i: ~F.array_contains(removed, i)), "\n")
+    text = F.when(F.size(removed) > 0, rest).otherwise(given).alias("text")
+    return joined.select(*(text if c == "text" else docs[c] for c in docs.columns), F.coalesce(n_lines, F.lit(0).cast("bigint")).alias("n_lines_with_words"),
+                         F.greatest(F.coalesce(F.size(removed), F.lit(0)), F.lit(0)).cast("bigint").alias("n_lines_removed"))

@@ -167,8 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, folds: int =
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (``doc_id``) with ``score`` of every whole text."""
+    """``row, doc_id, score`` of every whole text: ``row`` holds all given columns, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
@@ -183,13 +184,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             means = np.array([_mean(Counter(words), known) for words in texts])
             if len(known) > HELD:
                 known.clear()
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(Model(weight, bias).score(means), pa.float64())})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id"), pa.array(Model(weight, bias).score(means), pa.float64())], names=["row", "doc_id", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return documents(docs).mapInArrow(run, f"doc_id {kind}, score double")
+    kind = whole.schema["row"].dataType.simpleString()
+    return whole.mapInArrow(run, f"row {kind}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def clean(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with their columns as given."""
+    return score(docs, fit(docs, labels, most)).filter("score < 0.5").select("row.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    scored = score(docs, fit(docs, labels, most))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels, most))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -11,10 +11,11 @@ in its own first ones can't be linked and is left out; what remains, mostly real
 trie, and each set is driven down it: the overlap so far is shared by all sets below a node, and a subtree is left as soon as
 no set below it can still reach the overlap that its lengths ask for.
 
-*Hot buckets and groups of copies.* Equal sets are one class from the start. Links are wanted up to connection only, so
-traversal skips what is connected already and a bucket returns one edge per connected set, never its pairs. First each
-document goes to one bucket only, large buckets in parts of ``PART`` that share an anchor. Then components are labelled, and
-only buckets in which two labels still meet are searched in full: their parts are paired, so that no task holds a bucket.
+*Large groups of copies.* Equal sets are one class from the start. Links are wanted up to connection only, so traversal skips
+what is connected already and a cell returns edges that connect, never its pairs. Documents that meet over any n-grams are one
+*area*. An area is searched in parts of ``PART`` that share its smallest document; components are labelled, and only in areas
+of several parts in which two labels are left the rest is searched: documents of the largest component are dealt out once, the
+others meet each of its parts and each other. No task holds an area, and no pair is left out.
 
 Defined results: a null or empty text, or one without words, has an empty set and is alone; with fewer than ``n`` words the
 whole sequence is the set's one element; repeated rows of an id are one node with the sets of all its rows (its size is that of
@@ -273,32 +274,50 @@ def similar(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     few = ids.count() <= BROADCAST_IDS
     sets = stored(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(keys, "id bigint, keys binary"), "keys")
 
-    # first each document in its largest bucket; parts of a large one share its anchor
-    parts = F.greatest(F.lit(1), F.ceil(F.col("held") / PART)).cast("int")
-    chosen = live.groupBy("id").agg(F.max(F.struct("held", "gram", "anchor")).alias("at")).select("id", "at.*")
-    placed = chosen.select("id", "gram", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    anchors = chosen.select("gram", "anchor", parts.alias("parts")).distinct().select(
-        F.col("anchor").alias("id"), "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    first = placed.unionByName(anchors).distinct().select(F.struct("gram", "part").alias("cell"), "id")
-    first = first.select(F.xxhash64("cell").alias("cell"), "id", F.col("id").alias("label")).join(sets, "id")
-    edges = stored(_cells(first, percent), "links")
+    # documents that meet at all, over any number of n-grams: one area; an area of up to PART documents is one cell
+    met = components(live.select(F.col("anchor").alias("a"), F.col("id").alias("b")).distinct())
+    areas = stored(met.select(F.col("node").alias("id"), F.col("label").alias("area")), "areas")
+    wide = areas.groupBy("area").agg(F.count("*").alias("members"))
+    placed = stored(areas.join(wide, "area"), "placed")
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    first = placed.select("area", "id", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    # the smallest id of a large area sits in all of its parts
+    anchors = wide.filter(F.col("members") > PART).select("area", F.col("area").alias("id"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    first = first.unionByName(anchors).distinct().select(F.xxhash64("area", "part").alias("cell"), "id", F.col("id").alias("label"))
+    edges = stored(_cells(first.join(sets, "id"), percent), "links")
     labels = stored(components(edges), "labels")
 
-    # then the buckets in which two components still meet, in full; equal member lists are searched once
-    named = live.join(labels, live["id"] == labels["node"], "left").select("id", "gram", "held", F.coalesce("label", "id").alias("label"))
-    open_grams = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("gram")
-    parts = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("held") / PART)))).cast("int")
-    split = named.join(open_grams, "gram").withColumn("parts", parts).withColumn(
-        "mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    paired = split.select("gram", "id", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    lists = paired.groupBy("gram", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.sort_array(F.collect_set("id")).alias("ids")).filter("low < high")
-    cells = lists.groupBy(F.xxhash64("ids").alias("cell")).agg(F.first("ids").alias("ids"))
-    second = cells.select("cell", F.explode("ids").alias("id")).join(labels, F.col("id") == labels["node"], "left").select(
-        "cell", "id", F.coalesce("label", "id").alias("label")).join(sets, "id")
-    more = stored(_cells(second, percent), "links")
+    # in large areas with several components left, all pairs across components: the largest one's documents are dealt out once, the
+    # others go to each of its parts and meet among themselves in pairs of parts
+    large = placed.filter(F.col("members") > PART).join(labels, F.col("id") == labels["node"], "left").select("area", "id", F.coalesce("label", "id").alias("label"))
+    sizes = large.groupBy("area", "label").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("area").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all")).filter(F.col("all") > F.col("most.n"))
+    ruled = large.join(top.select("area", F.col("most.label").alias("main"), F.ceil(F.col("most.n") / PART).cast("int").alias("mains"),
+                                  F.ceil((F.col("all") - F.col("most.n")) / PART).cast("int").alias("rests")), "area")
+    main = F.col("label") == F.col("main")
+    mine = F.pmod(F.xxhash64("id"), F.col("rests")).cast("int")
+    index = F.sequence(F.lit(0), F.col("rests") - 1)
+    seats = F.when(main, F.array(F.struct(F.lit(-1).alias("i"), F.pmod(F.xxhash64("id"), F.col("mains")).cast("int").alias("j")))).otherwise(F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(F.lit(-1).alias("i"), j.alias("j"))),
+        F.transform(index, lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))))
+    second = ruled.select("area", "id", "label", F.explode(seats).alias("seat")).select(F.xxhash64("area", "seat").alias("cell"), "id", "label")
+    more = stored(_cells(second.join(sets, "id"), percent), "links")
     final = components(more.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
 
     reached = nodes.join(final, nodes["id"] == final["node"], "left").select("class", F.coalesce("label", "id").alias("component"))
     return rows.join(stored(reached, "reached"), "class", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "class")
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` for each group of linked documents, that with the smallest id, with its columns as given.
+
+    Rows without an id or without words stay as they are."""
+    found = stored(similar(docs, n, percent).select("doc_id", "component_id", "n_shingles"), "groups")
+    drop = stored(found.filter("component_id <> doc_id").select("doc_id").distinct(), "drop")
+    again = stored(found.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(
+        kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
