@@ -1,21 +1,19 @@
 """Groups of documents by Jaccard similarity of their word n-grams, with a prefix-tree join.
 
-*Global order.* Every n-gram becomes one integer: frequent n-grams carry the class of their frequency in the top bits, all
-others class 0, and a digest fills the rest. Sets are sorted by it, rare n-grams first. Frequencies come from all texts: each
-task counts its own n-grams, reports those it saw repeatedly, Spark adds them up, and the ``HOT`` most frequent are broadcast
-(any order gives the same links, a good one gives fewer candidates).
+*Global order.* Every n-gram becomes one integer: two bits for how many texts have it, then a digest. Three in ten n-grams, chosen by
+their digest, are counted over all texts (each task adds up its own, Spark the rest); bitmaps of fixed size tell which of them
+several and which many texts have. Sets are sorted by that integer, rare n-grams first. Any order gives the same links; with
+this one the first n-grams of a document without neighbours are mostly its own, and it takes no further part.
 
-*Trie.* Two sets with Jaccard ``t`` or more share an n-gram among the first ``n - ceil(t n) + 1`` of each, and ``k`` n-grams among the
-first ``n - ceil(t n) + k``. With ``k`` a twentieth of the set, a document with fewer such n-grams that another document has
-in its own first ones can't be linked and is left out; what remains, mostly real neighbours, meets in the buckets of shared n-grams. In a bucket the sorted sets are stored in a path-compressed
-trie, and each set is driven down it: the overlap so far is shared by all sets below a node, and a subtree is left as soon as
-no set below it can still reach the overlap that its lengths ask for.
+*Trie.* Two sets with Jaccard ``t`` or more share an n-gram among the first ``n - ceil(t n) + 1`` of each; documents that share one meet.
+Where they meet, the sorted sets are stored in a path-compressed trie, and each set is driven down it: the overlap so far is
+shared by all sets below a node, and a subtree is left as soon as no set below it can still reach the overlap that its lengths ask for.
 
 *Large groups of copies.* Equal sets are one class from the start. Links are wanted up to connection only, so traversal skips
 what is connected already and a cell returns edges that connect, never its pairs. Documents that meet over any n-grams are one
-*area*. An area is searched in parts of ``PART`` that share its smallest document; components are labelled, and only in areas
-of several parts in which two labels are left the rest is searched: documents of the largest component are dealt out once, the
-others meet each of its parts and each other. No task holds an area, and no pair is left out.
+*area*; one of up to ``PART`` documents is a cell. In a larger one each document goes to its most frequent n-gram first, in parts that
+share one document; components are labelled, and only the n-grams at which two components still meet are searched in full, part against
+part. No task holds an area or a bucket, and no pair is left out.
 
 Defined results: a null or empty text, or one without words, has an empty set and is alone; with fewer than ``n`` words the
 whole sequence is the set's one element; repeated rows of an id are one node with the sets of all its rows (its size is that of
@@ -37,9 +35,9 @@ from .common import documents, stored
 from .components import components
 from .hashing import stir, word_codes
 
-#: Frequent n-grams that are broadcast (two integers each), and how many a task reports at most. Neither touches the links.
-HOT, LOCAL_HOT = 1 << 17, 1 << 15
-PEELS = 2
+#: N-grams with digests below this are counted (three in ten); ``MANY`` texts make one common; bits of a map (8 MB at every size).
+#: None of these touches the links.
+SAMPLED, MANY, BITS = np.uint64(3 * (1 << 58) // 10), 8, 1 << 26
 #: Ids of candidates are broadcast (eight bytes each) up to this many, counted first; beyond it texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 
@@ -60,26 +58,30 @@ def shingles(text: bytes, n: int) -> np.ndarray:
 
 
 class Order:
-    """The global order: frequency classes of the broadcast n-grams over everything else."""
+    """The global order: sampled n-grams that no other text has, then those of a few texts, of more texts, then all others.
 
-    def __init__(self, keys: np.ndarray, classes: np.ndarray):
-        self.keys, self.classes = keys, classes
+    Two bits on top of the digest tell the class; the same n-gram has the same place in every set."""
+
+    def __init__(self, bitmaps: tuple[bytes, ...]):
+        self.maps = [np.frombuffer(m, np.uint8) for m in bitmaps]
 
     def sort(self, found: np.ndarray) -> np.ndarray:
-        if len(self.keys) and len(found):
-            at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-            found = np.where(self.keys[at] == found, found | self.classes[at] << np.uint64(58), found)
-        return np.sort(found).view(np.int64)
+        if not len(found):
+            return found.view(np.int64)
+        place = _place(found)
+        level = np.full(len(found), 3, np.uint64)
+        taken = found < SAMPLED
+        level[taken] = sum(((m[place[taken] >> 3] >> (place[taken] & 7).astype(np.uint8)) & 1).astype(np.uint64) for m in self.maps)
+        return np.sort(found | level << np.uint64(58)).view(np.int64)
 
 
-def prefix_length(size: int, percent: int, shared: int = 1) -> int:
-    """First n-grams of a set among which it shares ``shared`` with every set that it links with."""
-    return min(size, size - -(-size * percent // 100) + shared)
+def _place(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(BITS - 1)).astype(np.int64)
 
 
-def common(size: int) -> int:
-    """N-grams that two linked sets of this size or more are asked to share among their first ones."""
-    return max(1, size // 20)
+def prefix_length(size: int, percent: int) -> int:
+    """First n-grams of a set among which it shares one with every set that it links with."""
+    return size - -(-size * percent // 100) + 1 if size else 0
 
 
 def _bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -87,39 +89,34 @@ def _bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def global_order(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and frequency classes of the most frequent n-grams of the whole table."""
+def global_order(docs: DataFrame, n: int) -> tuple[bytes, ...]:
+    """Bitmaps of the sampled n-grams that several texts have, and of those that many have: counted over the whole table.
+
+    What is sampled depends on the n-gram alone, so its count is complete. Counts are added up in each task first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        seen: set[int] = set()
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-        def fold(keys, counts):
-            every, at = np.unique(np.concatenate([keys, *held]), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate([counts, np.ones(sum(map(len, held)))])).astype(np.int64)
-            return every, total
-
         for batch in batches:
             for text in _bytes(batch):
-                # copies are one class later on and count once here, too
-                mark = hash(text)
-                if mark not in seen:
-                    seen.add(mark)
-                    held.append(shingles(text, n))
-            if sum(map(len, held)) > 2_000_000:
-                keys, counts = fold(keys, counts)
-                held.clear()
-                if len(keys) > 4_000_000:
-                    keys, counts = keys[counts > 1], counts[counts > 1]
-        if held:
-            keys, counts = fold(keys, counts)
-        top = np.argsort(-counts, kind="stable")[:LOCAL_HOT]
-        top = top[counts[top] > 1]
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[top].view(np.int64)), "n": pa.array(counts[top])})
-
-    found = docs.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    hot = found.filter("n > 3").orderBy(F.desc("n"), "key").limit(HOT).toPandas().sort_values("key")
-    return hot["key"].to_numpy(np.uint64), np.minimum(np.log2(hot["n"].to_numpy(np.float64)).astype(np.uint64) + np.uint64(1), np.uint64(31))
+                keys = shingles(text, n)
+                held.append((keys[:np.searchsorted(keys, SAMPLED)] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+                if sum(map(len, held[-64:])) and len(held) % 4_096 == 0:
+                    yield folded(held)
+                    held = []
+        yield folded(held)
+
+    def folded(held):
+        keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        return pa.RecordBatch.from_pydict({"gram": pa.array(keys.view(np.int32)), "n": pa.array(counts.astype(np.int32))})
+
+    found = docs.select("text").mapInArrow(count, "gram int, n int").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    bit = F.pmod(F.col("gram").cast("bigint"), F.lit(BITS)) + 1  # the functions count from 1
+    marks = found.select(bit.alias("bit"), F.explode(F.when(F.col("n") < MANY, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("level"))
+    slices = marks.groupBy("level", F.expr("bitmap_bucket_number(bit)").alias("slice")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+    maps = [bytearray(BITS // 8) for _ in range(2)]
+    for r in slices.toLocalIterator():
+        at = (r["slice"] - 1) * 4_096
+        maps[r["level"]][at:at + 4_096] = r["bits"]
+    return tuple(bytes(m) for m in maps)
 
 
 class Trie:
@@ -215,14 +212,16 @@ def trie_links(sets: list[np.ndarray], labels: list[int], percent: int, sides: l
 def sets_of(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
     """``doc_id, size, class, prefix`` of every row: the class is a digest of the whole set."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked = Order(*order.value)
+        ranked = Order(order.value)
         for batch in batches:
             size, name, prefix = [], [], []
             for text in _bytes(batch):
                 keys = shingles(text, n)
                 size.append(len(keys))
                 name.append(_digest(keys))
-                prefix.append(ranked.sort(keys)[:prefix_length(len(keys), percent, common(len(keys)))])
+                first = ranked.sort(keys)[:prefix_length(len(keys), percent)]
+                # what no other text has can't be shared
+                prefix.append(first[np.searchsorted(first, 1 << 58):])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
                 names=["doc_id", "size", "class", "prefix"])
@@ -248,25 +247,19 @@ def similar(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     docs = documents(docs)
     order = docs.sparkSession.sparkContext.broadcast(global_order(docs, n))
     rows = stored(sets_of(docs, order, n, percent), "sets")
-    nodes = stored(rows.filter("size > 0 and doc_id is not null").groupBy("class").agg(
-        F.min("doc_id").alias("id"), F.max("size").alias("size"), F.first("prefix").alias("prefix")), "classes")
-
-    # documents with enough n-grams that others have, too; twice, as those left out take their n-grams with them
-    size = F.col("size")
-    smallest = F.ceil(size * percent / 100)
-    entries = nodes.select("id", "size", F.posexplode("prefix").alias("at", "gram"))
-    for _ in range(PEELS):
-        shared = entries.groupBy("gram").agg(F.count("*").alias("held"), F.min("id").alias("anchor")).filter("held > 1")
-        entries = entries.select("id", "size", "at", "gram").join(shared, "gram")
-        enough = entries.groupBy("id").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter(
-            F.col("n") >= F.greatest(F.lit(1), F.floor(smallest / 20))).select("id")
-        entries = stored(entries.join(enough, "id"), "live")
-    # links need only the n-grams before the extension
-    live = entries.filter(F.col("at") <= size - smallest).select("id", "gram", "held", "anchor")
+    known = rows.filter("size > 0 and doc_id is not null")
+    nodes = stored(known.groupBy("class").agg(F.min("doc_id").alias("id")), "classes")
+
+    # n-grams that several classes have in their prefixes
+    named = known.filter(F.size("prefix") > 0).select("class", "doc_id", "prefix").join(
+        nodes.withColumnRenamed("id", "doc_id"), ["class", "doc_id"])
+    entries = stored(named.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("gram")).distinct(), "entries")
+    shared = entries.groupBy("gram").agg(F.count("*").alias("held"), F.min("id").alias("anchor")).filter("held > 1")
+    live = stored(entries.join(shared, "gram").select("id", "gram", "held", "anchor"), "live")
     ids = stored(live.select(F.col("id").alias("doc_id")).distinct(), "ids")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked = Order(*order.value)
+        ranked = Order(order.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(
                 [ranked.sort(shingles(t, n)).tobytes() for t in _bytes(batch)], pa.binary())], names=["id", "keys"])
@@ -279,28 +272,29 @@ def similar(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     areas = stored(met.select(F.col("node").alias("id"), F.col("label").alias("area")), "areas")
     wide = areas.groupBy("area").agg(F.count("*").alias("members"))
     placed = stored(areas.join(wide, "area"), "placed")
-    parts = F.ceil(F.col("members") / PART).cast("int")
-    first = placed.select("area", "id", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    # the smallest id of a large area sits in all of its parts
-    anchors = wide.filter(F.col("members") > PART).select("area", F.col("area").alias("id"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    first = first.unionByName(anchors).distinct().select(F.xxhash64("area", "part").alias("cell"), "id", F.col("id").alias("label"))
+    small = placed.filter(F.col("members") <= PART).select(F.struct(F.col("area").alias("at"), F.lit(-1).alias("part")).alias("cell"), "id")
+    # of a larger area each document goes to its most frequent n-gram first, in parts that share that n-gram's smallest document
+    large = live.join(placed.filter(F.col("members") > PART).select("id"), "id")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("held") / PART)).cast("int")
+    chosen = large.groupBy("id").agg(F.max(F.struct("held", "gram", "anchor")).alias("at")).select("id", "at.*")
+    seats = chosen.select(F.struct(F.col("gram").alias("at"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part")).alias("cell"), "id")
+    anchors = chosen.select("gram", "anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select(
+        F.struct(F.col("gram").alias("at"), "part").alias("cell"), F.col("anchor").alias("id"))
+    first = small.unionByName(seats).unionByName(anchors).distinct().select(F.xxhash64("cell").alias("cell"), "id", F.col("id").alias("label"))
     edges = stored(_cells(first.join(sets, "id"), percent), "links")
     labels = stored(components(edges), "labels")
 
-    # in large areas with several components left, all pairs across components: the largest one's documents are dealt out once, the
-    # others go to each of its parts and meet among themselves in pairs of parts
-    large = placed.filter(F.col("members") > PART).join(labels, F.col("id") == labels["node"], "left").select("area", "id", F.coalesce("label", "id").alias("label"))
-    sizes = large.groupBy("area", "label").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("area").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all")).filter(F.col("all") > F.col("most.n"))
-    ruled = large.join(top.select("area", F.col("most.label").alias("main"), F.ceil(F.col("most.n") / PART).cast("int").alias("mains"),
-                                  F.ceil((F.col("all") - F.col("most.n")) / PART).cast("int").alias("rests")), "area")
-    main = F.col("label") == F.col("main")
-    mine = F.pmod(F.xxhash64("id"), F.col("rests")).cast("int")
-    index = F.sequence(F.lit(0), F.col("rests") - 1)
-    seats = F.when(main, F.array(F.struct(F.lit(-1).alias("i"), F.pmod(F.xxhash64("id"), F.col("mains")).cast("int").alias("j")))).otherwise(F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(F.lit(-1).alias("i"), j.alias("j"))),
-        F.transform(index, lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))))
-    second = ruled.select("area", "id", "label", F.explode(seats).alias("seat")).select(F.xxhash64("area", "seat").alias("cell"), "id", "label")
+    # then its n-grams at which two components still meet, in full: parts in pairs, equal lists of documents once
+    labelled = large.join(labels, F.col("id") == labels["node"], "left").select("id", "gram", "held", F.coalesce("label", "id").alias("label"))
+    open_grams = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("gram")
+    level = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("held") / PART)))).cast("int")
+    split = labelled.join(open_grams, "gram").withColumn("parts", level).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    paired = split.select("gram", "id", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    lists = paired.groupBy("gram", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.sort_array(F.collect_set("id")).alias("ids")).filter("low < high")
+    cells = lists.groupBy(F.xxhash64("ids").alias("cell")).agg(F.first("ids").alias("ids"))
+    second = cells.select("cell", F.explode("ids").alias("id")).join(labels, F.col("id") == labels["node"], "left").select(
+        "cell", "id", F.coalesce("label", "id").alias("label"))
     more = stored(_cells(second.join(sets, "id"), percent), "links")
     final = components(more.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
 
