@@ -11,7 +11,7 @@ of fixed size tells). Equal sets are one line from the start, at its first place
 pair; the rest is verified exactly. Digests of 64 bits stand for words.
 
 *Copies in bulk.* What is asked of a line is whether any earlier line is similar, so a search ends with the first hit. First each line
-goes to one bucket only (large ones in parts, each with the bucket's earliest line); what isn't removed there is searched
+goes to one bucket only (large ones in parts that share one line); what isn't removed there is searched
 against all lines of its buckets, in bounded cells. Pairs within a group of copies are never written out.
 
 Defined results: null or empty texts have no lines; repeated rows of an id are one text's lines at the same places, so all of
@@ -208,11 +208,8 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
             yield pa.RecordBatch.from_arrays([batch.column("name").take(taken), batch.column("size").take(taken), pa.array(word[keep])], names=["name", "size", "word"])
 
     entries = stored(firsts.select("name", "size", "prefix").mapInArrow(viable, "name bigint, size int, word int"), "entries")
-    shared = entries.groupBy("word").agg(F.count("*").alias("held")).filter("held > 1")
-    live = entries.join(shared, "word")
-    ats = live.join(firsts.select("name", "at"), "name")
-    anchors = ats.groupBy("word").agg(F.min(F.struct("at", "name")).alias("a")).select("word", F.col("a.name").alias("anchor"))
-    live = stored(live.join(anchors, "word"), "live")
+    shared = entries.groupBy("word").agg(F.count("*").alias("held"), F.min("name").alias("anchor")).filter("held > 1")
+    live = stored(entries.join(shared, "word"), "live")
     names = live.select("name").distinct().join(firsts.select("name", "at"), "name").select("name", "at.*")
     per_doc = stored(names.groupBy("doc_id").agg(F.collect_list(F.struct("line", "name")).alias("wanted")), "wanted")
     kind = docs.schema["doc_id"].dataType
@@ -243,7 +240,7 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
         return stored(run_cells(members.select("cell", "name", F.struct("place.doc_id", "place.line").alias("place"), "probe", "keys"),
                                 ["name", "place", "probe", "keys"], lambda rows: later([(r[0], _place(r[1]), r[2], r[3]) for r in rows], percent)), "removed")
 
-    # first each line in its largest bucket, in parts that share the bucket's earliest line
+    # first each line in its largest bucket, in parts that share one line
     parts = F.greatest(F.lit(1), F.ceil(F.col("held") / PART)).cast("int")
     chosen = live.groupBy("name").agg(F.max(F.struct("held", "word", "anchor")).alias("at")).select("name", "at.*")
     placed = chosen.select("name", "word", F.pmod(F.xxhash64("name"), parts).cast("int").alias("part"))
