@@ -10,13 +10,27 @@ from pyspark.sql import Column, functions as F
 from ..spec import ACCEPTABLE_TIERS, STATE_ALIASES, TIER_RANK
 
 
+@lru_cache(maxsize=1)
+def _combining_class() -> str:
+    """Regular-expression class of all characters with a non-zero combining class (vowel signs of Indic scripts have none)."""
+    out, code = [], 0x300
+    while code < 0x1F000:
+        end = code
+        while unicodedata.combining(chr(end)):
+            end += 1
+        if end > code:
+            out.append(f"\\x{{{code:X}}}-\\x{{{end - 1:X}}}")
+        code = end + 1
+    return "[" + "".join(out) + "]"
+
+
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
-    """Characters of the basic plane whose compatibility decomposition leaves one base character."""
+    """Characters whose compatibility decomposition leaves one base character."""
     src, dst = [], []
-    for code in range(0xA0, 0xFFFF):
+    for code in range(0xA0, 0x1FBFA):
         ch = chr(code)
-        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
+        if not unicodedata.decomposition(ch):
             continue
         base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
         if len(base) == 1 and base != ch:
@@ -28,10 +42,10 @@ def _fold_table() -> tuple[str, str]:
 def fold_marks(c: Column) -> Column:
     """Replace accented and compatibility characters by their base character and drop combining marks.
 
-    The long ``translate`` map runs only for text that holds a non-ASCII character.
+    The long ``translate`` map runs only for text that holds a non-ASCII character. Characters that decompose into several stay.
     """
     src, dst = _fold_table()
-    folded = F.regexp_replace(F.translate(c, src, dst), r"\p{Mn}", "")
+    folded = F.regexp_replace(F.translate(c, src, dst), _combining_class(), "")
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 

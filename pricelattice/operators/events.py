@@ -47,7 +47,7 @@ def ripple(df: DataFrame, edges: DataFrame, events: DataFrame, max_horizon: int)
 def default_ripple_event(df: DataFrame, scores: DataFrame, z_threshold: float = 2.0) -> DataFrame:
     """Per commodity: the top-scored leader and the date of its strongest shock, or the last date without one."""
     lead = scores.groupBy("commodity").agg(
-        F.max(F.struct(F.col("influence_score"), F.col("market_id"))).alias("s")).select("commodity", F.col("s.market_id").alias("leader_id"))
+        F.min_by("market_id", F.struct(-F.col("influence_score"), F.col("market_id"))).alias("leader_id"))
     shocks = price_shocks(df, z_threshold).select("commodity", F.col("market_id").alias("leader_id"), "date", "return_z")
     best = shocks.join(lead, ["commodity", "leader_id"], "left_semi").groupBy("commodity").agg(
         F.max_by("date", F.struct(F.abs("return_z"), F.col("date"))).alias("shock_date"))

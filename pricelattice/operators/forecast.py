@@ -183,15 +183,15 @@ class ModelSizes:
     boosting_rounds: int = 150
 
 
-def estimators(n_train: int, sizes: ModelSizes = ModelSizes()) -> dict[str, Pipeline]:
-    """Ridge alpha = 1 as regParam alpha/n; trees with the declared depth and leaf sizes.
+def estimators(n_train: int, label_sd: float, sizes: ModelSizes = ModelSizes(), alpha: float = 1.0) -> dict[str, Pipeline]:
+    """Ridge: the solver divides its penalty by the label's deviation, so alpha becomes alpha * sd / n; trees with the declared depth and leaf sizes.
 
     The boosted trees are bounded by depth 4 (at most 16 leaves) where the definition bounds leaves at 15.
     """
     common = {"labelCol": "modal_price", "featuresCol": "features", "predictionCol": "prediction"}
     tree = {**common, "seed": SEED, "maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
     models = {
-        RIDGE: LinearRegression(elasticNetParam=0.0, regParam=1.0 / max(n_train, 1), standardization=False, **common),
+        RIDGE: LinearRegression(elasticNetParam=0.0, regParam=alpha * label_sd / max(n_train, 1), standardization=False, **common),
         TREE: DecisionTreeRegressor(maxDepth=8, minInstancesPerNode=5, maxBins=64, **tree),
         FOREST: RandomForestRegressor(numTrees=sizes.forest_trees, maxDepth=12, minInstancesPerNode=3, featureSubsetStrategy="all", **tree),
         BOOSTING: GBTRegressor(maxIter=sizes.boosting_rounds, stepSize=0.05, maxDepth=4, maxBins=255, minInstancesPerNode=20, **tree),
@@ -200,7 +200,8 @@ def estimators(n_train: int, sizes: ModelSizes = ModelSizes()) -> dict[str, Pipe
 
 
 def fit(train: DataFrame, names: list[str] | None = None, sizes: ModelSizes = ModelSizes()) -> dict[str, PipelineModel]:
-    pipes = estimators(train.count(), sizes)
+    told = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("modal_price").alias("sd")).first()
+    pipes = estimators(told["n"], told["sd"] or 1.0, sizes)
     return {n: pipes[n].fit(train) for n in (names or list(pipes))}
 
 

@@ -1,20 +1,17 @@
 """Centrality of lead-lag graphs. Every graph (one per grouping key) is scored in the same job.
 
-Graphs of up to ``SMALL_GRAPH`` nodes become one bounded task each; larger ones iterate as joins between checkpoints.
-Both follow the same definitions: PageRank on reversed weighted edges, betweenness on unweighted directed paths.
+Graphs of any size iterate as joins between checkpoints: PageRank on reversed weighted edges, betweenness on unweighted
+directed paths.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import median
 from ..session import cut_lineage
 
-SMALL_GRAPH = 1000
-DAMPING, TOLERANCE, MAX_ROUNDS = 0.85, 1e-6, 100  # fixed defaults of the score definition
+DAMPING, TOLERANCE, MAX_ROUNDS = 0.85, 1e-6, 200  # fixed defaults of the score definition
 WEIGHTS = {"source_pagerank": 0.35, "out_strength": 0.35, "betweenness": 0.20, "lead_consistency": 0.10}
 
 
@@ -28,62 +25,8 @@ def graph_tables(edges: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]
     return nodes, links
 
 
-def small_pagerank(src, dst, weight, n):
-    """Power iteration on the reversed graph: rank flows from follower to leader."""
-    flow = np.zeros((n, n))
-    np.add.at(flow, (dst, src), weight)
-    out = flow.sum(axis=1)
-    dangling = out == 0
-    flow[~dangling] /= out[~dangling, None]
-    x = np.full(n, 1.0 / n)
-    for _ in range(MAX_ROUNDS):
-        new = DAMPING * (x @ flow + x[dangling].sum() / n) + (1 - DAMPING) / n
-        done = np.abs(new - x).sum() < n * TOLERANCE
-        x = new
-        if done:
-            break
-    return x
-
-
-def small_betweenness(src, dst, n):
-    """Level-synchronous search from all nodes at once, then dependencies back level by level."""
-    link = np.zeros((n, n))
-    link[src, dst] = 1.0
-    dist = np.where(np.eye(n) > 0, 0, -1)
-    sigma = np.eye(n)
-    front, level = sigma.copy(), 0
-    while front.any():
-        level += 1
-        front = (front @ link) * (dist < 0)
-        dist[front > 0] = level
-        sigma += front
-    delta = np.zeros((n, n))
-    for d in range(level, 0, -1):
-        share = np.where(dist == d, (1.0 + delta) / np.where(sigma > 0, sigma, 1.0), 0.0)
-        delta += np.where(dist == d - 1, sigma * (share @ link.T), 0.0)
-    np.fill_diagonal(delta, 0.0)
-    scale = (n - 1) * (n - 2)
-    return delta.sum(axis=0) / scale if scale > 0 else np.zeros(n)
-
-
-def _small_centrality(links: DataFrame, by: list[str]) -> DataFrame:
-    kinds = dict(links.dtypes)
-    schema = "".join(f"{c} {kinds[c]}, " for c in by) + "market_id string, source_pagerank double, betweenness double"
-
-    def kernel(key, pdf):
-        ids, code = np.unique(np.concatenate([pdf["src"].to_numpy(str), pdf["dst"].to_numpy(str)]), return_inverse=True)
-        s, d = code[: len(pdf)], code[len(pdf):]
-        out = pd.DataFrame({"market_id": ids, "source_pagerank": small_pagerank(s, d, pdf["weight"].to_numpy(), len(ids)),
-                            "betweenness": small_betweenness(s, d, len(ids))})
-        for c, v in zip(by, key):
-            out[c] = v
-        return out
-
-    return links.groupBy(*by).applyInPandas(kernel, schema)
-
-
 def pagerank(nodes: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
-    """Iterated joins for graphs of any size; a graph stops changing once its own L1 step is below n * tolerance."""
+    """Iterated joins; a graph stops changing once its own L1 step is below n * tolerance. Fails if one doesn't settle."""
     size = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     back = links.select(*by, F.col("dst").alias("market_id"), F.col("src").alias("to"), "weight")
     out = back.groupBy(*by, "market_id").agg(F.sum("weight").alias("out"))
@@ -104,8 +47,8 @@ def pagerank(nodes: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
             *by, "market_id", "n", "dangling", F.when(F.col("stop"), F.col("r")).otherwise(new).alias("r"),
             F.col("r").alias("prev"), F.col("stop").alias("done")))
         if state.where(~F.col("done")).isEmpty():
-            break
-    return state.select(*by, "market_id", F.col("r").alias("source_pagerank"))
+            return state.select(*by, "market_id", F.col("r").alias("source_pagerank"))
+    raise RuntimeError(f"PageRank not settled after {MAX_ROUNDS} rounds")
 
 
 def betweenness(nodes: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
@@ -143,20 +86,13 @@ def betweenness(nodes: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
         *by, "market_id", F.coalesce(F.try_divide(F.col("d"), scale.cast("double")), zero).alias("betweenness"))
 
 
-def centrality(edges: DataFrame, by: list[str], small_graph: int = SMALL_GRAPH) -> DataFrame:
-    """(by, market_id, source_pagerank, betweenness); one action learns whether any graph exceeds ``small_graph``."""
+def centrality(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, market_id, source_pagerank, betweenness) of all graphs in the same rounds."""
     nodes, links = graph_tables(edges, by)
-    size = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    largest = size.agg(F.max("n")).first()[0] or 0
-    if largest <= small_graph:
-        return _small_centrality(links, by)
-    big = size.where(F.col("n") > small_graph)
-    n2, l2 = cut_lineage(nodes.join(big, by, "left_semi")), cut_lineage(links.join(big, by, "left_semi"))
-    wide = pagerank(n2, l2, by).join(betweenness(n2, l2, by), [*by, "market_id"])
-    return _small_centrality(links.join(big, by, "left_anti"), by).unionByName(wide)
+    return pagerank(nodes, links, by).join(betweenness(nodes, links, by), [*by, "market_id"])
 
 
-def influence_scores(edges: DataFrame, by: list[str] | None = None, small_graph: int = SMALL_GRAPH) -> DataFrame:
+def influence_scores(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Composite score of upstream price leaders per graph, with every component."""
     by = by or ["commodity"]
     # the edge table is small and is read four times below, by actions among them: compute it once
@@ -165,7 +101,7 @@ def influence_scores(edges: DataFrame, by: list[str] | None = None, small_graph:
     outward = edges.groupBy(*by, F.col("leader_id").alias("market_id")).agg(
         F.sum(F.abs("corr")).alias("out_strength"), F.avg(1.0 / F.greatest(F.lit(1), F.col("lag_days"))).alias("lead_consistency"),
         F.count(F.lit(1)).alias("outbound_edges"), median(F.nullif(F.col("overlap"), F.lit(0))).alias("median_overlap"))
-    x = nodes.join(centrality(edges, by, small_graph), [*by, "market_id"]).join(outward, [*by, "market_id"], "left")
+    x = nodes.join(centrality(edges, by), [*by, "market_id"]).join(outward, [*by, "market_id"], "left")
     x = x.na.fill(0, ["out_strength", "lead_consistency", "outbound_edges", "median_overlap"])
     top = x.groupBy(*by).agg(*[F.max(c).alias(f"__top_{c}") for c in WEIGHTS])
     x = x.join(top, by)

@@ -82,13 +82,16 @@ def _best_candidates(pdf: pd.DataFrame, first: int, second: int, max_lag: int, m
 def lead_lag_candidates(df: DataFrame, policy: LeadLagPolicy = LeadLagPolicy(), by: list[str] | None = None) -> DataFrame:
     """One row per unordered market pair that has a usable candidate, before any significance filter."""
     by = by or ["commodity"]
-    r = market_returns(df, by).select(*by, "market_id", "date", "ret")
-    kept = top_markets(market_returns(df, by), by, policy.max_markets).select(*by, "market_id", "market", "market_rank")
-    x = with_position(r.join(kept, [*by, "market_id"]), by, policy.lag_mode)
-    last = (policy.max_markets - 1) // BLOCK
+    returns = market_returns(df, by).select(*by, "market_id", "market", "date", "ret")
+    kept = top_markets(returns, by, policy.max_markets).select(*by, "market_id", F.col("market").alias("__name"), "market_rank")
+    # a row is copied once per block of markets that its own group has
+    blocks = kept.groupBy(*by).agg(F.floor((F.max("market_rank") - 1) / BLOCK).cast("int").alias("__last"))
+    x = returns.drop("market").join(kept.withColumnRenamed("__name", "market"), [*by, "market_id"]).join(blocks, by)
+    x = with_position(x, by, policy.lag_mode)
     own = F.floor((F.col("market_rank") - 1) / BLOCK).cast("int")
-    x = x.withColumn("__o", own).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    x = x.withColumn("__i", F.least("__o", "__p")).withColumn("__j", F.greatest("__o", "__p")).drop("__o", "__p", "date")
+    x = x.withColumn("__o", own).withColumn("__p", F.explode(F.sequence(F.lit(0), F.col("__last"))))
+    x = x.withColumn("__i", F.least("__o", "__p")).withColumn("__j", F.greatest("__o", "__p")).drop("__o", "__p", "__last")
+    x = x.select(*by, "market_id", "ret", "market", "market_rank", "pos", "__i", "__j")
     kinds = dict(x.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + (
         ", leader_id string, follower_id string, leader string, follower string, lag_days int, corr double, "

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import canonical_state, infer_source_tier, make_market_id, slug
 from ..spec import PRICE_COLUMNS, ROW_KEY
 
+# Canonical column names and the old headings that stand for them.
 RENAMES = {"arrival_date": "date", "arrival_quantity": "arrivals"}
 TEXT_COLUMNS = ["state", "district", "market", "commodity", "variety", "grade", "source", "source_tier", "data_mode"]
 NUMERIC_COLUMNS = ["min_price", "max_price", "modal_price", "arrivals"]
@@ -26,13 +27,17 @@ def rename_and_default(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
+#: Day-first forms of portals besides ISO, tried in this order.
+DATE_FORMS = ("d/M/yyyy", "d/M/yy", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "yyyy/M/d", "d-M-yyyy", "d MMM yyyy", "d-MMM-yyyy", "d MMMM yyyy", "d-MMM-yy", "d.M.yyyy")
+
+
 def parse_date(c: Column, is_text: bool = True) -> Column:
-    """Text holding '/' is day-first, anything else ISO (offsets honoured, UTC day kept); bad text is NULL."""
+    """Text is ISO (offsets honoured, UTC day kept) or one of ``DATE_FORMS``, day first; other text is NULL."""
     if not is_text:
         return F.to_date(c)
     text = F.trim(c.cast("string"))
-    return F.when(F.contains(text, F.lit("/")), F.to_date(F.try_to_timestamp(text, F.lit("d/M/yyyy")))).otherwise(
-        F.to_date(F.try_to_timestamp(text)))
+    iso = F.when(~F.contains(text, F.lit("/")), F.to_date(F.try_to_timestamp(text)))
+    return F.coalesce(iso, *(F.to_date(F.try_to_timestamp(text, F.lit(form))) for form in DATE_FORMS))
 
 
 def to_number(c: Column) -> Column:

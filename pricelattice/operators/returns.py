@@ -23,11 +23,12 @@ def market_returns(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return x.where(F.col("ret").isNotNull()).select(*by, "date", "market_id", "market", *keep, "modal_price", "ret")
 
 
-def top_markets(returns: DataFrame, by: list[str], k: int) -> DataFrame:
-    """The k markets with most returns per group, ties by id; Spark prunes to k per task before the shuffle."""
+def top_markets(returns: DataFrame, by: list[str], k: int | None) -> DataFrame:
+    """The k markets with most returns per group (all, ranked, without k), ties by id; Spark prunes to k per task before the shuffle."""
     counts = returns.groupBy(*by, "market_id").agg(F.count(F.lit(1)).alias("n_returns"), F.min("market").alias("market"))
     order = Window.partitionBy(*by).orderBy(F.desc("n_returns"), "market_id")
-    return counts.withColumn("market_rank", F.row_number().over(order)).where(F.col("market_rank") <= k)
+    ranked = counts.withColumn("market_rank", F.row_number().over(order))
+    return ranked if k is None else ranked.where(F.col("market_rank") <= k)
 
 
 def with_position(returns: DataFrame, by: list[str], lag_mode: str = "report") -> DataFrame:
@@ -36,4 +37,6 @@ def with_position(returns: DataFrame, by: list[str], lag_mode: str = "report") -
         return returns.withColumn("pos", F.datediff("date", F.lit("1970-01-01").cast("date")))
     if lag_mode != "report":
         raise ValueError("lag_mode must be 'report' or 'calendar'")
-    return returns.withColumn("pos", F.dense_rank().over(Window.partitionBy(*by).orderBy("date")))
+    # dates are ranked once per group, from the group's distinct dates, and joined back: no window holds a group's returns
+    dates = returns.select(*by, "date").distinct().withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("date")))
+    return returns.join(dates, [*by, "date"])

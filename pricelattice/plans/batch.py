@@ -94,8 +94,11 @@ def analyze_snapshot(spark: SparkSession, target: str, policy: LeadLagPolicy = L
     """Analysis of a snapshot whose checksums hold; returns the per-commodity summary."""
     check = sinks.verify_snapshot(spark, target)
     if not sinks.snapshot_ok(check):
-        bad = check.where(~F.col("status").isin("ok", "unlisted")).orderBy("path").limit(20).collect()
-        raise ValueError("snapshot verification failed: " + "; ".join(f"{r['status']}: {r['path']}" for r in bad))
+        bad = check.where(~F.col("status").isin("ok", "unlisted"))
+        bad.write.mode("overwrite").parquet(f"{target}/verification_failures")
+        told = bad.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("first")).orderBy("status").collect()
+        raise ValueError("snapshot verification failed (all files in verification_failures): " + "; ".join(
+            f"{r['status']}: {r['files']}, first {r['first']}" for r in told))
     data = f"{target}/{sinks.DATA}"
     panel = spark.read.parquet(f"{data}/market_daily").drop("year")
     markets, weather = load_markets(spark, f"{data}/markets"), load_weather(spark, f"{data}/weather_daily")

@@ -357,7 +357,7 @@ def _(spark, d):
 
 
 @query("top03_default_ripple_event", o.select(SHOCK + """, ld_ AS (SELECT commodity, market_id AS leader_id FROM (SELECT commodity, market_id, count(*) AS n FROM ret GROUP BY ALL)
-    QUALIFY row_number() OVER (PARTITION BY commodity ORDER BY n DESC, market_id DESC) = 1),
+    QUALIFY row_number() OVER (PARTITION BY commodity ORDER BY n DESC, market_id) = 1),
   b AS (SELECT commodity, market_id AS leader_id, arg_max(date, struct_pack(a := abs(return_z), b := date)) AS sd FROM sh_ GROUP BY ALL),
   l AS (SELECT commodity, max(date) AS ld FROM panel GROUP BY ALL),
   r AS (SELECT ld_.commodity, ld_.leader_id, coalesce(sd, ld) AS event_date FROM ld_ JOIN l ON l.commodity = ld_.commodity LEFT JOIN b ON b.commodity = ld_.commodity AND b.leader_id = ld_.leader_id)""",

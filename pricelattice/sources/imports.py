@@ -71,7 +71,7 @@ def canonicalize_export(df: DataFrame, *, state: str | None = None, district: st
         out = out.withColumn(field, F.coalesce(current, F.lit(value)))
     missing = [c for c in REQUIRED if c not in out.columns]
     if missing:
-        raise ValueError("import cannot establish required field(s): " + ", ".join(missing))
+        raise ValueError("columns missing from the import: " + ", ".join(missing))
     blanks = {"district": "", "variety": "", "grade": "", "min_price": None, "max_price": None, "arrivals": None, "arrival_unit": "UNKNOWN"}
     return out.withColumns({c: F.lit(v).cast("string") for c, v in blanks.items() if c not in out.columns})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.coverage import data_mode
-from ..operators.normalize import ensure_market_id, normalize_prices
+from ..operators.normalize import RENAMES, ensure_market_id, normalize_prices
 from ..operators.panel import aggregate_market_daily
 from ..spec import MARKETS_SCHEMA, PANEL_SCHEMA, RAW_SCHEMA, WEATHER_SCHEMA
 
@@ -29,8 +29,8 @@ def read_text_csv(spark: SparkSession, path: str, schema: str | None = None) ->
 
 def load_prices(spark: SparkSession, path: str) -> DataFrame:
     """A processed panel (Parquet or CSV) normalised and aggregated again, so foreign rows meet the same rules."""
-    raw = read_text_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
-    return aggregate_market_daily(normalize_prices(raw, with_id=False))
+    raw = landed(read_text_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path))
+    return aggregate_market_daily(normalize_prices(raw, INGEST_ORDER, with_id=False))
 
 
 def load_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -64,25 +64,58 @@ def side_tables(spark: SparkSession, panel: DataFrame, real: dict[str, str], dem
     return out
 
 
-def read_chunks(spark: SparkSession, folder: str, schema: str = RAW_SCHEMA) -> DataFrame:
-    """All CSV chunks below a folder in one scan, columns matched by heading, with the file path as ingest order.
+def chunk_groups(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, list[str]]]:
+    """CSV files by heading line: ``(heading, files)``; empty files have none and are left out.
 
-    Files with other headings are read per distinct heading set by ``read_mixed_chunks``.
-    """
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    df = reader.schema(schema).csv(folder)
-    return df.select("*", F.col("_metadata.file_path").alias("chunk_path"))
+    The first line of a file is that with the lowest row number among those of its first block."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(paths)
+    first = lines.where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row"), "value")
+    heads = first.groupBy("path").agg(F.min_by("value", "row").alias("heading"))
+    found = heads.groupBy("heading").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("heading").collect()
+    return [(r["heading"], r["paths"]) for r in found if r["heading"] and r["heading"].strip()]
+
+
+def read_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """All CSV chunks below a folder (or in a list), columns matched by heading whatever their order; absent ones are NULL.
+
+    ``INGEST_ORDER`` columns tell which of two rows landed later. Headings without any known column are refused."""
+    known = {c.split()[0] for c in RAW_SCHEMA.split(", ")} | set(RENAMES)
+    groups = chunk_groups(spark, paths)
+    unknown = [heading for heading, _ in groups if not known & {h.strip().strip('"') for h in heading.split(",")}]
+    if unknown:
+        raise ValueError(f"no known column in: {unknown[0]}")
+    return read_mixed_chunks(spark, [files for _, files in groups])
 
 
 def read_mixed_chunks(spark: SparkSession, groups: list[list[str]]) -> DataFrame:
     """Chunk files grouped by equal headings, united by name; columns absent from a group become NULL."""
-    parts = [spark.read.option("header", True).csv(paths).select("*", F.col("_metadata.file_path").alias("chunk_path")) for paths in groups]
+    parts = []
+    for paths in groups:
+        part = landed(spark.read.option("header", True).option("inferSchema", False).csv(paths))
+        # old headings get their canonical names here, so that groups with either meet in one column
+        parts.append(part.withColumnsRenamed({k: v for k, v in RENAMES.items() if k in part.columns and v not in part.columns}))
+    if not parts:
+        return landed(spark.createDataFrame([], RAW_SCHEMA), of_files=False)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
+#: A row's place among all landed rows: file time, file, block, row within it.
+INGEST_ORDER = ["chunk_time", "chunk_path", "chunk_start", "chunk_row"]
+
+
+def landed(df: DataFrame, of_files: bool = True) -> DataFrame:
+    """``df`` of a file scan with the columns of ``INGEST_ORDER``."""
+    if not of_files:
+        return df.select("*", F.lit(None).cast("timestamp").alias("chunk_time"), F.lit(None).cast("string").alias("chunk_path"),
+                         F.lit(None).cast("bigint").alias("chunk_start"), F.lit(None).cast("bigint").alias("chunk_row"))
+    return df.select("*", F.col("_metadata.file_modification_time").alias("chunk_time"), F.col("_metadata.file_path").alias("chunk_path"),
+                     F.col("_metadata.file_block_start").alias("chunk_start"), F.monotonically_increasing_id().alias("chunk_row"))
+
+
 def load_catalog(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A cached catalog; refuses one without its required columns."""
     df = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)

@@ -69,7 +69,7 @@ class LeadLagPolicy:
     min_overlap: int = 35
     min_abs_corr: float = 0.30
     fdr_alpha: float = 0.05
-    max_markets: int = 40
+    max_markets: int | None = None  # a number keeps only that many markets of each group, those with most returns
     lag_mode: str = "report"  # 'report' = row offset over reporting dates, 'calendar' = true days
 
 

@@ -5,22 +5,25 @@ Late rows need no watermark: the merge decides by key and source authority, when
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.normalize import normalize_prices
 from ..operators.panel import aggregate_market_daily
+from ..sources.readers import INGEST_ORDER, read_chunks
 from ..sources.sinks import upsert_panel
-from ..spec import RAW_SCHEMA
 
 
-def merge_batch(spark: SparkSession, raw: DataFrame, panel_path: str) -> None:
-    if not raw.isEmpty():
-        upsert_panel(spark, aggregate_market_daily(normalize_prices(raw, with_id=False)), panel_path)
+def merge_batch(spark: SparkSession, lines: DataFrame, panel_path: str) -> None:
+    """Read the files of this batch again as chunks: by heading, with their order of landing."""
+    files = [r["path"] for r in lines.select(F.col("_metadata.file_path").alias("path")).distinct().collect()]
+    raw = read_chunks(spark, files) if files else None
+    if raw is not None and not raw.isEmpty():
+        upsert_panel(spark, aggregate_market_daily(normalize_prices(raw, INGEST_ORDER, with_id=False)), panel_path)
 
 
 def ingest_folder(spark: SparkSession, landing: str, panel_path: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
     """Process every file landed so far, then stop; the checkpoint makes a later call resume after them."""
-    raw = spark.readStream.schema(RAW_SCHEMA).option("header", True).option("maxFilesPerTrigger", max_files).csv(landing)
-    return (raw.writeStream.foreachBatch(lambda df, _: merge_batch(df.sparkSession, df, panel_path))
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).option("pathGlobFilter", "*.csv").text(landing).select("*", "_metadata")
+    return (lines.writeStream.foreachBatch(lambda df, _: merge_batch(df.sparkSession, df, panel_path))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -26,16 +26,14 @@ def folder():
     return tempfile.mkdtemp(prefix="spark-")
 
 
-def walk_panel(days=80, markets=(("A", "State 1"), ("B", "State 1"), ("C", "State 2")), seed=42, commodity="Onion", start="2024-01-01", mode="DEMO"):
-    """Seeded random-walk prices for a few markets."""
-    rng = np.random.default_rng(seed)
+def walk_panel(days=80, markets=(("A", "North"), ("B", "North"), ("C", "Coast")), commodity="Onion", start="2022-03-05", mode="DEMO"):
+    """Raw rows of a few markets whose prices swing on waves of their own length, with a drift; no random numbers."""
     out = []
-    for market, state in markets:
-        price = 2000.0
-        for day in pd.date_range(start, periods=days):
-            price *= float(np.exp(rng.normal(0, 0.01)))
-            out.append((str(day.date()), state, "D", market, commodity, "General", "FAQ", str(price - 100), str(price + 100), str(price),
-                        str(max(1.0, 100 + rng.normal(0, 10))), "tonne", "TEST", "", mode))
+    for k, (market, state) in enumerate(markets):
+        for n, day in enumerate(pd.date_range(start, periods=days)):
+            price = 1500 + 40 * k + 2.5 * n + (60 + 15 * k) * np.sin(n / (2.3 + k)) + 11 * ((7 * n + 3 * k) % 5)
+            out.append((str(day.date()), state, "D", market, commodity, "General", "FAQ", f"{price - 80:.2f}", f"{price + 90:.2f}", f"{price:.2f}",
+                        str(40 + (13 * n + 5 * k) % 37), "tonne", "TEST", "", mode))
     return out
 
 

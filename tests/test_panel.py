@@ -139,3 +139,34 @@ def test_row_order_and_partitions_do_not_matter(spark, small_panel):
     assert [x[:2] for x in a] == [x[:2] for x in b]
     for x, y in zip(a, b):
         assert x[3:] == pytest.approx(y[3:], rel=1e-12)
+
+
+def test_portal_date_forms(spark):
+    forms = ["05 Jan 2024", "05-Jan-2024", "05/01/24", "05/01/2024 10:30", "2024/01/05", "2024-01-05", "5/1/2024", "05-01-2024", "2024-01-05T23:30:00+00:00", "soon"]
+    x = spark.createDataFrame([(f,) for f in forms], "d string").select(nrm.parse_date(F.col("d")).cast("string").alias("d"))
+    assert [r.d for r in x.collect()] == ["2024-01-05"] * 9 + [None]
+
+
+def test_folding_keeps_vowel_signs(spark):
+    from pricelattice.functions.text import canonical_state, fold_marks
+    cases = {"गुजरात": "गुजरात", "ગુજરાત": "ગુજરાત", "தமிழ்நாடு": "தமிழநாடு", "Mahārāshtra": "Maharashtra", "क़लम": "कलम", "plain": "plain"}
+    x = spark.createDataFrame(list(cases.items()), "c string, want string").select("c", "want", fold_marks(F.col("c")).alias("got"))
+    assert [(r.c, r.got) for r in x.collect()] == list(cases.items())
+    assert spark.range(1).select(canonical_state(F.lit("गुजरात"))).first()[0] == "गुजरात"
+
+
+def test_chunks_are_read_by_heading_and_in_order(spark, folder):
+    import os
+    os.makedirs(f"{folder}/a")
+    open(f"{folder}/a/1.csv", "w").write("state,date,market,commodity,modal_price,min_price\nNorth,2024-01-02,M,Onion,200,100\nNorth,2024-01-02,M,Onion,210,50\n")
+    open(f"{folder}/a/2.csv", "w").write("modal_price,commodity,market,arrival_date,state\n300,Onion,N,03/01/2024,Coast\n")
+    open(f"{folder}/a/3.csv", "w").write("")
+    from pricelattice.sources.readers import INGEST_ORDER, read_chunks
+    rows = read_chunks(spark, folder)
+    assert rows.count() == 3
+    got = {r.market: r for r in nrm.normalize_prices(rows, INGEST_ORDER).collect()}
+    assert (str(got["M"].date), got["M"].state, got["M"].modal_price, got["M"].min_price) == ("2024-01-02", "North", 210.0, 50.0)
+    assert got["N"].modal_price == 300.0 and got["N"].state == "Coast"
+    open(f"{folder}/a/4.csv", "w").write("x,y\n1,2\n")
+    with pytest.raises(ValueError):
+        read_chunks(spark, folder)

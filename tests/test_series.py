@@ -29,8 +29,10 @@ def series(spark, rows):
 
 
 def test_crunch_day_is_found(spark):
-    x = series(spark, [(day(i), "S", "M", "m", "Onion", 5000.0 if i == 20 else 2000.0 + i, 5.0 if i == 20 else 100.0 + i % 5) for i in range(40)])
-    assert ev.market_crunches(x).orderBy(F.desc("crunch_severity")).first().date == day(20)
+    prices = {33: 3900.0}
+    supply = {33: 2.5}
+    x = series(spark, [(day(i), "S", "M", "m", "Wheat", prices.get(i, 1200.0 + 3 * (i % 11)), supply.get(i, 60.0 + 2 * (i % 7))) for i in range(55)])
+    assert ev.market_crunches(x).orderBy(F.desc("crunch_severity")).first().date == day(33)
 
 
 def test_robust_z_of_all_missing_and_constant(spark):
