@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # Element names of HTML by their part in a page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas head title select option textarea button form input label".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
@@ -231,5 +233,7 @@ def extract(pages: DataFrame, winners: int = WINNERS) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return _named(pages).join(host_paths(pages, winners), "host", "left").select("page_id", "url", "html", "paths").mapInArrow(
+    # written first: with its size known, a small table goes to the pages, and a large one leaves hot hosts to be split
+    paths = stored(host_paths(pages, winners), "paths")
+    return _named(pages).join(paths, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(
         take, f"page_id {kind}, url string, text string, n_chars bigint")
