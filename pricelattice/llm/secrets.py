@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, stored
 
 #: Kind, pattern, group that is measured (0: all), least length of that group. The order is the order of kinds.
 RULES = (
@@ -91,7 +91,8 @@ def ledger_after(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES)
 
 def findings(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
     """``doc_id, findings`` of every row of ``docs``, through the ledger."""
-    known = ledger_after(docs, ledger, rules).filter(F.col("version") == version(rules)).filter(F.size("findings") > 0)
+    # written first, as a ledger is: then hot texts can be split among the paths that hold them
+    known = stored(ledger_after(docs, ledger, rules), "ledger").filter(F.col("version") == version(rules)).filter(F.size("findings") > 0)
     paths = versions(docs).select(F.col("path").alias("doc_id"), "sha")
     return paths.join(known.select("sha", "findings"), "sha", "left").select(
         "doc_id", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
