@@ -11,7 +11,7 @@ shared by all sets below a node, and a subtree is left as soon as no set below i
 
 *Large groups of copies.* Equal sets are one class from the start. Links are wanted up to connection only, so traversal skips
 what is connected already and a cell returns edges that connect, never its pairs. Documents that meet over any n-grams are one
-*area*; one of up to ``PART`` documents is a cell. In a larger one each document goes to its most frequent n-gram first, in parts that
+*area*; one of up to ``AREA_BYTES`` is a cell. In a larger one each document goes to its most frequent n-gram first, in parts that
 share one document; components are labelled, and only the n-grams at which two components still meet are searched in full, part against
 part. No task holds an area or a bucket, and no pair is left out.
 
@@ -40,6 +40,8 @@ from .hashing import stir, word_codes
 SAMPLED, MANY, BITS = np.uint64(3 * (1 << 58) // 10), 8, 1 << 26
 #: Ids of candidates are broadcast (eight bytes each) up to this many, counted first; beyond it texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
+#: Sets of an area that one task holds at most.
+AREA_BYTES = 64 << 20
 
 _M3 = np.uint64(0x9E3779B97F4A7C15)
 
@@ -236,9 +238,22 @@ def _digest(keys: np.ndarray) -> bytes:
 def _cells(members: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` that tries find in cells (``cell, id, label, keys``) beyond what labels connect."""
     def work(rows: list[tuple]) -> list[tuple[int, int]]:
-        ids = [r[0] for r in rows]
-        pairs = trie_links([np.frombuffer(r[2], np.int64) for r in rows], [r[1] for r in rows], percent)
-        return [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in pairs if ids[x] != ids[y]]
+        ids, sets = [r[0] for r in rows], [np.frombuffer(r[2], np.int64) for r in rows]
+        meet: dict[int, list[int]] = {}
+        for k, keys in enumerate(sets):
+            prefix = keys[:prefix_length(len(keys), percent)]
+            for gram in prefix[np.searchsorted(prefix, 1 << 58):].tolist():
+                meet.setdefault(gram, []).append(k)
+        # one trie for each n-gram at which members that aren't connected meet, the largest first
+        links, out = Links([r[1] for r in rows]), []
+        for group in sorted((g for g in meet.values() if len(g) > 1), key=len, reverse=True):
+            roots = [links.root(k) for k in group]
+            if len(set(roots)) > 1:
+                for x, y in trie_links([sets[k] for k in group], roots, percent):
+                    x, y = group[x], group[y]
+                    links.up[links.root(x)] = links.root(y)
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return [(a, b) for a, b in out if a != b]
     return run_cells(members, ["id", "label", "keys"], work)
 
 
@@ -267,14 +282,15 @@ def similar(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     few = ids.count() <= BROADCAST_IDS
     sets = stored(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(keys, "id bigint, keys binary"), "keys")
 
-    # documents that meet at all, over any number of n-grams: one area; an area of up to PART documents is one cell
+    # documents that meet at all, over any number of n-grams: one area; an area whose sets fit a task is one cell
     met = components(live.select(F.col("anchor").alias("a"), F.col("id").alias("b")).distinct())
     areas = stored(met.select(F.col("node").alias("id"), F.col("label").alias("area")), "areas")
-    wide = areas.groupBy("area").agg(F.count("*").alias("members"))
+    weighed = areas.join(sets.select("id", F.length("keys").cast("bigint").alias("bytes")), "id")
+    wide = weighed.groupBy("area").agg((F.sum("bytes") > AREA_BYTES).alias("large"))
     placed = stored(areas.join(wide, "area"), "placed")
-    small = placed.filter(F.col("members") <= PART).select(F.struct(F.col("area").alias("at"), F.lit(-1).alias("part")).alias("cell"), "id")
+    small = placed.filter("not large").select(F.struct(F.col("area").alias("at"), F.lit(-1).alias("part")).alias("cell"), "id")
     # of a larger area each document goes to its most frequent n-gram first, in parts that share that n-gram's smallest document
-    large = live.join(placed.filter(F.col("members") > PART).select("id"), "id")
+    large = live.join(placed.filter("large").select("id"), "id")
     parts = F.greatest(F.lit(1), F.ceil(F.col("held") / PART)).cast("int")
     chosen = large.groupBy("id").agg(F.max(F.struct("held", "gram", "anchor")).alias("at")).select("id", "at.*")
     seats = chosen.select(F.struct(F.col("gram").alias("at"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part")).alias("cell"), "id")
