@@ -122,6 +122,7 @@ def test_trie_join_equals_all_pairs(docs, texts, nothing, n, percent):
 
 def test_trie_join_splits_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(trie_join, "PART", 4)
+    monkeypatch.setattr(trie_join, "AREA_BYTES", 1_000)
     draw = random.Random(2)
     base = prose(draw, 60, 10**6).split()
     rows = []
