@@ -26,7 +26,7 @@ def folder():
     return tempfile.mkdtemp(prefix="spark-")
 
 
-def walk_panel(days=80, markets=(("A", "North"), ("B", "North"), ("C", "Coast")), commodity="Onion", start="2022-03-05", mode="DEMO"):
+def walk_panel(days=80, markets=(("A", "North"), ("B", "North"), ("C", "Coast")), commodity="Onion", start="2024-01-01", mode="DEMO"):
     """Raw rows of a few markets whose prices swing on waves of their own length, with a drift; no random numbers."""
     out = []
     for k, (market, state) in enumerate(markets):
