@@ -1,15 +1,12 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
-Texts are compared as words (letters and digits, lower case); an edit puts in, leaves out or replaces a word. A random walk
-(CGK) turns a window of words into a string of fixed length: at each step it writes the word it stands on and moves on or
-stays by a random bit of (step, word). After an edit two walks fall into step again, so a small edit distance becomes a small
-Hamming distance, and locality-sensitive hashing by sampled positions finds it: ``WALKS`` independent walks with ``BANDS``
-samples of ``BITS`` positions each. A window and an item that agree on one whole sample are a candidate pair. Numbers of walks and
-bands are set for a recall of 0.99 at ``RATE`` edits a word; the tests measure it against brute force. Candidates are
-verified by exact edit distance, the passage's ends free, so whatever is reported is right.
-
-Windows may start at every word of the whole text; their length is that of the item, rounded down to steps of a tenth. A
-window is walked only where a passage within the distance can lie: of the item's ``k + 2`` words that are rarest in the
+Texts are compared as words (letters and digits, lower case); an edit puts in, leaves out or replaces a word. An item that may
+have ``k`` edits holds ``k + 1`` parts of equal length that don't overlap, and an edit spoils one part at most: every passage within
+the distance holds one part word for word, at most ``k`` places off. Parts are looked up by hash at every word of the whole text, so that no
+passage is missed at any item length or kind of edit. Candidates are verified by exact edit distance, the passage's ends free, so
+whatever is reported is right.
+
+A candidate is verified only where a passage within the distance can lie: of the item's ``k + 2`` words that are rarest in the
 documents (one counting pass over all texts, benchmark words only), ``k`` edits leave at least two, in places at most ``k``
 apart from those in the item.
 
@@ -23,6 +20,7 @@ reported; repeated rows give repeated results; an empty table on either side giv
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -36,7 +34,6 @@ from .common import documents, stored
 
 #: Edits that a passage may have per word of the item; items under ``SHORT`` words may have none.
 RATE, SHORT = 0.2, 10
-WALKS, BANDS, BITS = 4, 5, 3
 SLICE = 20_000
 
 _token = re.compile(r"[^\W_]+")
@@ -50,128 +47,97 @@ def limit(n: int, rate: float = RATE) -> int:
     return int(n * rate) if n >= SHORT else 0
 
 
-def _length(n: int) -> int:
-    """Window length of an item: ``n`` rounded down to a step of a tenth."""
-    step = 1
-    while True:
-        after = max(step + 1, step * 11 // 10)
-        if after > n:
-            return step
-        step = after
-
-
-class Walks:
-    """CGK walks over windows of one length and the samples of their positions."""
-
-    def __init__(self, length: int, vocabulary: int, seed: int):
-        draw = np.random.default_rng((seed, length))
-        self.length, self.steps = length, 2 * length
-        # a bit for (walk, step, word) from a table of rows per step and a mask of bits per word
-        self.bits = draw.integers(0, 2, (WALKS, self.steps, 64), dtype=np.int8)
-        self.lane = draw.integers(0, 64, (WALKS, vocabulary + 2))
-        self.samples = np.sort(draw.integers(0, self.steps * 3 // 4, (WALKS, BANDS, BITS)), axis=2)
-        self.factor = draw.integers(1, 1 << 62, BITS).astype(np.uint64) | np.uint64(1)
-
-    def hashes(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """One row per start, one column per (walk, band)."""
-        out = np.empty((len(starts), WALKS * BANDS), np.uint64)
-        for walk in range(WALKS):
-            at, end = starts.copy(), starts + self.length
-            wrote = np.empty((self.steps, len(starts)), np.int64)
-            for step in range(self.steps):
-                on = np.where(at < end, codes[np.minimum(at, len(codes) - 1)], len(self.lane[walk]) - 1)
-                wrote[step] = on
-                at = at + self.bits[walk, step][self.lane[walk][on]]
-            with np.errstate(over="ignore"):
-                for band in range(BANDS):
-                    picked = wrote[self.samples[walk, band]].astype(np.uint64) + np.uint64(1)
-                    mixed = (picked * self.factor[:, None]).sum(0, dtype=np.uint64)
-                    out[:, walk * BANDS + band] = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return out
+def _hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` words from each place on; places without as many words have none."""
+    out = np.zeros(max(0, len(codes) - width + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width if len(out) else 0):
+            out = (out + codes[k:k + len(out)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
 
 
 class Index:
-    """Items of one slice: codes of their words, and per window length the hashes to look up."""
+    """Items of one slice: codes of their words, and per length of parts their hashes in order, with item and place."""
 
-    def __init__(self, items: list[tuple[object, str]], counts: dict[str, int], rate: float = RATE, seed: int = 11):
+    def __init__(self, items: list[tuple[object, str]], counts: dict[str, int], rate: float = RATE):
         self.rate = rate
         split = [(key, words(text or "")) for key, text in items]
         self.items = [(key, w) for key, w in split if w]
         self.code = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         self.coded = [np.array([self.code[w] for w in ws]) for _, ws in self.items]
         self.rare_at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.needed, self.group = [], []
-        groups = defaultdict(list)
+        self.needed = []
+        parts = defaultdict(list)
         for k, (_, ws) in enumerate(self.items):
             most = limit(len(ws), rate)
             chosen = sorted(range(len(ws)), key=lambda q: (counts.get(ws[q], 0), ws[q], q))[:most + 2]
             for q in chosen:
                 self.rare_at[self.code[ws[q]]].append((k, q))
             self.needed.append(max(1, len(chosen) - most))
-            groups[_length(len(ws))].append(k)
-            self.group.append(_length(len(ws)))
+            count = min(most + 1, len(ws))
+            width = len(ws) // count
+            at = np.arange(0, width * count, width)
+            parts[width].append((_hashes(self.coded[k], width)[at], np.full(len(at), k), at))
         self.rare = np.zeros(len(self.code) + 1, bool)
         self.rare[list(self.rare_at)] = True
-        self.classes = {}
-        for length, members in sorted(groups.items()):
-            walks = Walks(length, len(self.code), seed)
-            hashed = np.concatenate([walks.hashes(self.coded[k], np.zeros(1, np.int64)) for k in members])
-            tables = []
-            for column in range(hashed.shape[1]):
-                order = np.argsort(hashed[:, column], kind="stable")
-                tables.append((hashed[order, column], np.array(members)[order]))
-            self.classes[length] = (walks, tables)
-
-    def windows(self, codes: np.ndarray) -> dict[int, np.ndarray]:
-        """Starts of the windows to walk, by window length."""
-        diagonals = defaultdict(list)
-        for at in np.flatnonzero(self.rare[codes]).tolist():
+        self.tables = {}
+        for width, rows in sorted(parts.items()):
+            hashed, item, at = (np.concatenate(column) for column in zip(*rows))
+            order = np.argsort(hashed, kind="stable")
+            self.tables[width] = hashed[order], item[order], at[order]
+
+    def diagonals(self, codes: np.ndarray) -> dict[int, list[int]]:
+        """Per item with a part in the text the places, in order, at which the item would start by one of its parts."""
+        found = []
+        for width, (hashed, item, at) in self.tables.items():
+            text = _hashes(codes, width)
+            low, high = np.searchsorted(hashed, text), np.searchsorted(hashed, text, side="right")
+            where = np.flatnonzero(high > low)
+            many = (high - low)[where]
+            entry = np.repeat(low[where] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            found.append(np.stack([item[entry], np.repeat(where, many) - at[entry]]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        items, first = np.unique(pairs[0], return_index=True)
+        return {k: part.tolist() for k, part in zip(items.tolist(), np.split(pairs[1], first[1:]))}
+
+    def ranges(self, codes: np.ndarray) -> dict[int, list[list[int]]]:
+        """Per item the first and last places, without overlaps, at which a passage within the distance may start."""
+        parts = self.diagonals(codes)
+        rare = defaultdict(list)
+        for at in np.flatnonzero(self.rare[codes]).tolist() if parts else ():
             for item, q in self.rare_at[codes[at]]:
-                diagonals[item].append((at - q, at))
-        starts = defaultdict(list)
-        for item, found in diagonals.items():
-            most, needed = limit(len(self.coded[item]), self.rate), self.needed[item]
+                if item in parts:
+                    rare[item].append((at - q, at))
+        out = {}
+        for item, found in rare.items():
+            most, needed, by_part = limit(len(self.coded[item]), self.rate), self.needed[item], parts[item]
             found.sort()
+            joined: list[list[int]] = []
             for k in range(needed - 1, len(found)):
                 low, high = found[k - needed + 1], found[k]
                 if high[0] - low[0] <= most and (needed == 1 or low[1] != high[1]):
-                    starts[self.group[item]].append((high[0] - most, low[0] + most))
-        out = {}
-        for length, ranges in starts.items():
-            last = max(0, len(codes) - 1)
-            out[length] = np.unique(np.concatenate([np.arange(min(max(a, 0), last), min(max(b, 0), last) + 1) for a, b in ranges]))
+                    a, b = high[0] - most, low[0] + most
+                    near = bisect_left(by_part, a - most)
+                    if near < len(by_part) and by_part[near] <= b + most:
+                        if joined and a <= joined[-1][1] + 1:
+                            joined[-1][1] = max(joined[-1][1], b)
+                        else:
+                            joined.append([a, b])
+            if joined:
+                out[item] = joined
         return out
 
     def matches(self, text: str) -> list[tuple[object, int, int, int]]:
         """``item, first word, end word, edits`` of each item's best passage in a text."""
         get = self.code.get
         codes = np.array([get(w, 0) for w in words(text)], np.int64)
-        pairs: set[tuple[int, int]] = set()
-        for length, starts in self.windows(codes).items() if len(codes) else ():
-            walks, tables = self.classes[length]
-            for at in range(0, len(starts), 4_096):
-                part = starts[at:at + 4_096]
-                hashed = walks.hashes(codes, part)
-                for column, (table, members) in enumerate(tables):
-                    low = np.searchsorted(table, hashed[:, column])
-                    for k in np.flatnonzero(table[np.minimum(low, len(table) - 1)] == hashed[:, column]):
-                        j = low[k]
-                        while j < len(table) and table[j] == hashed[k, column]:
-                            pairs.add((int(members[j]), int(part[k])))
-                            j += 1
         best: dict[int, tuple[int, int, int]] = {}
-        near = defaultdict(list)
-        for item, start in sorted(pairs):
-            near[item].append(start)
-        for item, starts in near.items():
-            mine, most = self.coded[item], limit(len(self.coded[item]), self.rate)
-            done = -1
-            for start in starts:
-                if start < done:
-                    continue
-                # one verification covers the starts that follow within the limit
-                low, high = max(0, start - most), min(len(codes), start + 2 * most + len(mine) + 1)
-                done = start + most + 1
+        for item, ranges in self.ranges(codes).items() if len(codes) else ():
+            mine = self.coded[item]
+            most = limit(len(mine), self.rate)
+            for first, last in ranges:
+                low, high = max(0, first), max(0, last + len(mine) + most)
                 found = passage(mine, codes[low:high], most)
                 if found and (item not in best or found[2] < best[item][2]):
                     best[item] = (low + found[0], low + found[1], found[2])

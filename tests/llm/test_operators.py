@@ -219,6 +219,22 @@ def test_decontamination_recall_and_exactness(spark, nothing):
     assert decontaminate.contaminated(nothing, bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n", [10, 20, 25, 40, 60, 120, 200, 300])
+def test_decontamination_finds_every_passage_at_the_limit(n):
+    draw = random.Random(n)
+    items = [(k, prose(draw, n, 3_000)) for k in range(12)]
+    known = decontaminate.Index(items, {})
+    for kinds in ("s", "d", "i", "sdi"):
+        for k, text in items:
+            words = text.split()
+            for _ in range(decontaminate.limit(n)):
+                kind, at = draw.choice(kinds), draw.randrange(len(words))
+                words[at:at + (kind != "i")] = [f"Z{draw.randrange(10**6)}"][:kind != "d"]
+            passage = f"{prose(draw, 40, 3_000)} {' '.join(words)} {prose(draw, 40, 3_000)}"
+            got = {m[0]: m[3] for m in known.matches(passage)}
+            assert k in got and got[k] == edits(decontaminate.words(text), decontaminate.words(passage)), (n, kinds, k)
+
+
 # toxicity
 
 def test_toxicity_on_held_out_rows_and_misspellings(spark, nothing):
