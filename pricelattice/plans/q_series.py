@@ -64,6 +64,14 @@ def _(spark, d):
     return ret.with_position(x, ["commodity"]).select("commodity", "market_id", "date", "pos")
 
 
+@query("win02_report_positions_whole", o.select(TYPED_RET + """,
+  r AS (SELECT commodity, market_id, date, dense_rank() OVER (PARTITION BY commodity ORDER BY date) AS pos FROM ret)""",
+    "commodity:s market_id:s date:d pos:i", "r"))
+def _(spark, d):
+    r = ret.market_returns(wh.panel(spark, d, typed=True))
+    return ret.with_position(r, ["commodity"]).select("commodity", "market_id", "date", "pos")
+
+
 @query("top01_jn11_top_markets", o.select(TYPED_RET + """, c AS (SELECT commodity, market_id, count(*) AS n_returns FROM ret GROUP BY ALL),
   k AS (SELECT *, row_number() OVER (PARTITION BY commodity ORDER BY n_returns DESC, market_id) AS market_rank FROM c QUALIFY market_rank <= 10)""",
     "commodity:s market_id:s n_returns:i market_rank:i", "k"))
@@ -95,6 +103,25 @@ def _(spark, d):
     return ll.lead_lag_edges(wh.panel(spark, d).where(F.month("date") != 12), policy)
 
 
+# all rows stay: each year starts 40 days later than the calendar has it, so that reports have gaps between years
+SHIFTED = (o.panel().replace("panel AS (", "panel_ AS (") + ", panel AS (SELECT * REPLACE (CAST(date + CAST(40 * (year(date) - 1992) AS INTEGER) AS DATE) AS date) FROM panel_)"
+           + o.RETURNS)
+
+
+def _shifted(spark, d):
+    return wh.panel(spark, d).withColumn("date", F.date_add("date", (40 * (F.year("date") - 1992)).cast("int")))
+
+
+@query("cmp01_lead_lag_year_gaps", o.select(SHIFTED + lead_lag_sql("commodity", 35, 40), EDGE_COLS, "edges_all"))
+def _(spark, d):
+    return ll.lead_lag_edges(_shifted(spark, d), ALL_PAIRS)
+
+
+@query("cmp01_lead_lag_year_gaps_calendar", o.select(SHIFTED + lead_lag_sql("commodity", 35, 40, calendar=True), EDGE_COLS, "edges_all"))
+def _(spark, d):
+    return ll.lead_lag_edges(_shifted(spark, d), LeadLagPolicy(min_abs_corr=0.0, fdr_alpha=1.0, lag_mode="calendar"))
+
+
 @query("cmp01_lead_lag_by_commodity", o.select(TYPED_RET + lead_lag_sql("commodity", 10, 25), EDGE_COLS, "edges_all"))
 def _(spark, d):
     return ll.lead_lag_edges(wh.panel(spark, d, typed=True), TYPED_PAIRS)
