@@ -169,8 +169,8 @@ def state_map_frame(df: DataFrame, markets: DataFrame | None = None) -> DataFram
     return out.join(xy, "state", "left").where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
-def density_pivot(audit: DataFrame, commodities: list[str]) -> DataFrame:
-    """State by commodity matrix of mean reporting density; listed commodities spare the distinct-value job."""
+def density_pivot(audit: DataFrame, commodities: list[str] | None = None) -> DataFrame:
+    """State by commodity matrix of mean reporting density, of all commodities without a list; a list spares the distinct-value job."""
     return audit.groupBy("state").pivot("commodity", commodities).agg(F.avg("reporting_density"))
 
 

@@ -127,4 +127,4 @@ def _(spark, d):
 
 @query("fc08_fc09_jn13_selection")
 def _(spark, d):
-    return fc.train_and_compare(wh.stored_panel(spark, d), names=[fc.RIDGE, fc.TREE]).comparison
+    return fc.train_and_compare(wh.stored_panel(spark, d)).comparison

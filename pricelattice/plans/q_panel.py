@@ -288,6 +288,17 @@ def _(spark, d):
     return x.where(~F.col("metric").isin("arrival_coverage", "coordinate_coverage")).unionByName(rows)
 
 
+@query("agg11_dataset_statistics_whole", "WITH " + o.panel(True) + o.COORDS + """, a AS (SELECT count(*) AS n, count(DISTINCT state) AS st, count(DISTINCT district) AS di,
+    count(DISTINCT market_id) AS mk, count(DISTINCT commodity) AS co, strftime(min(date), '%Y-%m-%d') AS d0, strftime(max(date), '%Y-%m-%d') AS d1,
+    round(count(arrivals) / count(*), 6) AS ac FROM panel)
+  SELECT unnest(['processed_market_day_rows', 'states', 'districts', 'markets', 'commodities', 'date_min', 'date_max', 'arrival_coverage', 'raw_rows', 'coordinate_coverage']) AS metric,
+    unnest([CAST(n AS VARCHAR), CAST(st AS VARCHAR), CAST(di AS VARCHAR), CAST(mk AS VARCHAR), CAST(co AS VARCHAR), d0, d1, CAST(ac AS VARCHAR),
+      (SELECT CAST(count(*) AS VARCHAR) FROM price_rows),
+      (SELECT CAST(round(avg(CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS VARCHAR) FROM coords)]) AS value FROM a""")
+def _(spark, d):
+    return cov.dataset_statistics(wh.price_rows(spark, d, typed=True), wh.stored_panel(spark, d, typed=True), wh.coordinates(spark, d))
+
+
 @query("agg13_price_trend", o.select(o.panel(True) + ", r AS (SELECT commodity, date, quantile_cont(modal_price, 0.5) AS modal_price FROM panel GROUP BY ALL)",
        "commodity:s date:d modal_price:f", "r"))
 def _(spark, d):
@@ -310,6 +321,15 @@ def _(spark, d):
     return x.withColumnsRenamed({"ECONOMY": "economy", "STANDARD": "standard"})
 
 
+TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@query("agg15_density_pivot_whole", o.select(AUDIT + ", r AS (SELECT state, " + ", ".join(
+    f"avg(reporting_density) FILTER (commodity = '{c}') AS {c}" for c in TYPES) + " FROM audit GROUP BY ALL)", "state:s " + " ".join(f"{c}:f" for c in TYPES), "r"))
+def _(spark, d):
+    return cov.density_pivot(cov.coverage_audit(wh.stored_panel(spark, d, typed=True)))
+
+
 @query("agg16_kpis", o.select(o.panel(True) + """, r AS (SELECT count(*) AS observations, count(DISTINCT market_id) AS markets, min(date) AS date_min, max(date) AS date_max,
     quantile_cont(modal_price, 0.5) AS median_price FROM panel WHERE commodity = 'ECONOMY')""",
     "observations:i markets:i date_min:d date_max:d median_price:f", "r"))
