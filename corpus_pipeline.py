@@ -37,8 +37,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = stored(mixture.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("of"), "copies").distinct(), "copies")
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["of"])).select(*(docs[c] for c in docs.columns), "copies")
+    # an id may have rows of several sizes and sources, each with copies of its own
+    plan = stored(mixture.decided(docs).filter("copies > 0").select("sid", F.col("doc_id").alias("of"), "size", "copies").distinct(), "copies")
+    same = (mixture.sid() == plan["sid"]) & docs["doc_id"].eqNullSafe(plan["of"]) & (mixture.size() == plan["size"])
+    return docs.join(plan, same).select(*(docs[c] for c in docs.columns), plan["copies"])
 
 
 STAGES = [

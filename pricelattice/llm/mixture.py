@@ -84,14 +84,28 @@ def _prefix_cut(rows: DataFrame, room: DataFrame) -> DataFrame:
     return state
 
 
+def size() -> Column:
+    """Words of a document."""
+    return F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("bigint")
+
+
+def sid() -> Column:
+    """A key of a source that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: str = "mix", fills: int = FILLS) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies`` of every row of ``docs`` (``doc_id, text, source``)."""
-    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("bigint")
-    rows = stored(docs.select("doc_id", "source", words.alias("size")), "sizes")
+    return decided(docs, weights, repeats, seed, fills).drop("sid")
+
+
+def decided(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: str = "mix", fills: int = FILLS) -> DataFrame:
+    """``mix`` with ``sid``; rows alike in ``sid``, ``doc_id`` and ``size`` have the same place, thus the same copies."""
+    rows = stored(docs.select("doc_id", "source", size().alias("size")), "sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * weight()).alias("weighed"))
     goal = targets(sums.select("source", "source_size"), weights, repeats)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
-    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
+    name = sid()
     plan = stored(goal.join(sums.select(F.col("source").alias("other"), "weighed"), F.col("source").eqNullSafe(F.col("other"))).select(
         name.alias("sid"), "source_size", "target", whole.alias("certain"), "weighed",
         (F.col("target") - whole * F.col("source_size")).alias("room")), "targets")
@@ -122,4 +136,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: str = "m
         fits = fits & (F.col("place") >= F.col(f"until{k}")) & (F.col("size") <= F.col(f"room{k}"))
         extra = extra | (fits & (F.col("place") < F.col(f"until{k + 1}")))
     copies = F.when(F.col("size") > 0, F.col("certain") + F.when(extra, 1).otherwise(0)).otherwise(F.col("certain"))
-    return sampled.join(ends, "sid").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return sampled.join(ends, "sid").select("sid", "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))

@@ -370,6 +370,17 @@ def test_mixture_targets_and_repeats(docs, texts, nothing):
     assert mixture.mix(nothing).collect() == []
 
 
+def test_pipeline_mix_keeps_copies_with_their_row(spark):
+    import corpus_pipeline
+    rows = [(None if k % 2 else 7, "word " * k, source, "x") for k in range(1, 31) for source in ("a", "b", "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, size string")
+    want = collections.Counter((r.doc_id, r["size"], r.sid, r.copies) for r in mixture.decided(docs).collect() if r.copies > 0)
+    out = corpus_pipeline.mixed(spark, docs, "")
+    assert out.columns == [*docs.columns, "copies"]
+    got = collections.Counter((r.doc_id, len(r.text.split()), f"={r.source}" if r.source else "-", r.copies) for r in out.collect())
+    assert got == want and len({k[:2] for k in want}) < len({(*k[:2], k[3]) for k in want})
+
+
 def test_mixture_water_filling(spark):
     rows = spark.createDataFrame([("a", 10), ("b", 100), (None, 1000), ("c", 500)], "source string, source_size bigint")
     got = {r["source"]: r["target"] for r in mixture.targets(rows).collect()}
