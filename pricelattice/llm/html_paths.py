@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -213,9 +213,11 @@ def host_paths(pages: DataFrame, winners: int = WINNERS) -> DataFrame:
 
     cast = _named(pages).select("host", "html").mapInArrow(vote, "host string, path string, vote double")
     tally = cast.groupBy("host", "path").agg(F.sum("vote").cast("decimal(20,6)").alias("votes"))
-    # of a host's paths only the best few are kept, by an aggregate that never gathers a host's list
-    top = F.expr(f"slice(sort_array(collect_list(struct(votes, path)), false), 1, {winners})")
-    return tally.filter("votes >= 0.5").groupBy("host").agg(top.alias("top")).select("host", F.col("top.path").alias("paths"))
+    # Spark limits the ranks per task before the shuffle, so that only the best few paths of a task reach their host's task
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("path")))
+    best = tally.filter("votes >= 0.5").withColumn("place", place).filter(F.col("place") <= winners)
+    top = F.sort_array(F.collect_list(F.struct("place", "path")))
+    return best.groupBy("host").agg(top.alias("top")).select("host", F.col("top.path").alias("paths"))
 
 
 def _named(pages: DataFrame) -> DataFrame:

@@ -399,6 +399,19 @@ text<p>Second <a href=y>link</a> para<ul><li>one<li>two</ul><blockquote>quote</b
 MAIN = "Head & shoulders é\nFirst bold line text\nSecond link para\none\ntwo\nquote"
 
 
+def test_html_paths_limits_a_host_before_the_shuffle(spark):
+    body = "a text long enough to be taken for the main text of its page, with words and commas, and more of them. " * 4
+    pages = spark.createDataFrame([(k, f"https://one.org/{k}", f'<html><body><div class="c{chr(97 + k)}"><p>{body}</p></div></body></html>') for k in range(20)], "page_id bigint, url string, html string")
+    paths = html_paths.host_paths(pages)
+    every = collections.defaultdict(float)
+    for r in pages.collect():
+        for path, vote in html_paths.votes(html_paths.blocks(r.html)):
+            every[path] += vote
+    want = sorted(((round(v, 6), p) for p, v in every.items()), reverse=True)[:3]
+    assert [(r.host, r.paths) for r in paths.collect()] == [("one.org", [p for _, p in want])]
+    assert "WindowGroupLimit" in paths._jdf.queryExecution().toString()
+
+
 def test_html_by_host_paths(spark):
     rows = [(k, "http://User@Site.org:80/p?q", PAGE.replace("{k}", str(k)), "x") for k in range(6)]
     rows += [(10, None, None, "x"), (11, "", "", "x"), (12, "nonsense", "just text &lt;b&gt;", "x"), (13, "http://site.org/", "<p>other layout", "x"), (13, "http://site.org/", "<p>other layout", "x"),
