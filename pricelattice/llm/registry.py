@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decision_list, decontaminate, html_paths, line_dedup, mixture, secrets, sql, token_counts, toxicity, trie_join
-from .common import table
+from . import (bpe, chat, decision_list, decontaminate, html_paths, line_dedup, mixture, repair, secrets, sql, sql_repair, token_counts,
+               toxicity, trie_join)
+from .common import stored, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -61,7 +62,25 @@ def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents")).drop("copies")
 
 
+def op12_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations")
+    rows = repair.damaged(given)
+    found = stored(repair.audits(rows), "audits")
+    seals = repair.sealed(repair.repaired(rows, found)).withColumnRenamed("conv_id", "of")
+    return found.join(seals, found["conv_id"].eqNullSafe(seals["of"]), "left").select(
+        *found.columns, F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    path = public_tokenizers.path(TOKENIZER)
+    coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_paths, op4_decision_list, op5_decontamination, op6_toxicity, op7_secrets, op8_chat, op9_trie_join, op10_mixture)
+    f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_paths, op4_decision_list, op5_decontamination, op6_toxicity, op7_secrets, op8_chat, op9_trie_join, op10_mixture, op12_structure_repair, op13_bpe)
 }
-ORACLES: dict[str, str] = {"op7_secrets": sql.secrets(), "op8_chat": sql.chat(), "op10_mixture": sql.MIXTURE}
+ORACLES: dict[str, str] = {"op7_secrets": sql.secrets(), "op8_chat": sql.chat(), "op10_mixture": sql.MIXTURE,
+                          "op12_structure_repair": sql_repair.repair()}
