@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, chat, decision_list, decontaminate, html_paths, line_dedup, mixture, repair, secrets, sql, sql_repair, token_counts,
-               toxicity, trie_join)
+from . import (bpe, chat, decision_list, decontaminate, divergence, html_paths, line_dedup, mixture, repair, secrets, sql,
+               sql_divergence, sql_repair, token_counts, toxicity, trie_join)
 from .common import stored, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,6 +62,10 @@ def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents")).drop("copies")
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 def op12_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
     given = table(spark, folder, "conversations")
     rows = repair.damaged(given)
@@ -80,7 +84,7 @@ def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_paths, op4_decision_list, op5_decontamination, op6_toxicity, op7_secrets, op8_chat, op9_trie_join, op10_mixture, op12_structure_repair, op13_bpe)
+    f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_paths, op4_decision_list, op5_decontamination, op6_toxicity, op7_secrets, op8_chat, op9_trie_join, op10_mixture, op11_source_divergence, op12_structure_repair, op13_bpe)
 }
 ORACLES: dict[str, str] = {"op7_secrets": sql.secrets(), "op8_chat": sql.chat(), "op10_mixture": sql.MIXTURE,
-                          "op12_structure_repair": sql_repair.repair()}
+                          "op11_source_divergence": sql_divergence.DIVERGENCE, "op12_structure_repair": sql_repair.repair()}
