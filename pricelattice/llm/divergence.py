@@ -370,7 +370,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, bits: i
     table = Table(docs, least_docs, bits)
     one = table.groups.select("lid", "gid", "lang", "source", "sid")
     apart = distances(table)
-    both = apart.select("lid", F.col("a").alias("sid"), F.col("b").alias("to"), "value").unionByName(apart.select("lid", F.col("b").alias("sid"), F.col("a").alias("to"), "value"))
+    ways = F.array(*(F.struct(F.col(x).alias("sid"), F.col(y).alias("to")) for x, y in ("ab", "ba")))
+    both = apart.select("lid", F.explode(ways).alias("way"), "value").select("lid", "way.*", "value")
     items = one.select("lid", F.col("sid").alias("to"), F.col("source").alias("item"))
     pairs = both.join(one, ["lid", "sid"]).join(items, ["lid", "to"]).select("gid", "lang", "source", F.lit("pair").alias("part"), "item", "value")
     above = table.shares().filter("p > q").select("gid", "lang", "source", "digest", "split", (F.col("p") - F.col("q")).alias("value"))
