@@ -41,6 +41,7 @@ PLAIN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\
 PLAIN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 _books: dict[str, "Book"] = {}
+_strings: dict[str, pa.Array] = {}
 
 
 class Cache:
@@ -88,8 +89,6 @@ class Book:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("unk_token") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
             raise ValueError(f"{path}: only plain BPE vocabularies are read here")
-        if spec.get("decoder") is not None:
-            raise ValueError(f"{path}: only files without a decoder are read here")
         rules = Tokenizer.from_file(path)
         self.normalize, self.cut = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self.plain = Plain(spec, self.cut)
@@ -107,8 +106,6 @@ class Book:
             raise ValueError(f"{path}: only special strings that are matched as they stand are read here")
         self.special = dict(added)
         self.marks = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if added else None
-        names = {i: t for t, i in (*self.ids.items(), *added)}
-        self.strings = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
         self.words, self.runs = Cache(HELD), Cache(HELD)
 
     def merged(self, symbols: list[int]) -> list[int]:
@@ -182,6 +179,18 @@ def book(path: str) -> Book:
     return _books[path]
 
 
+def strings(path: str) -> pa.Array:
+    """The vocabulary string of each id, special strings included; all that decoding needs."""
+    if path not in _strings:
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if spec.get("decoder") is not None:
+            raise ValueError(f"{path}: only files without a decoder are read here")
+        names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        _strings[path] = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+    return _strings[path]
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids`` of every document: its token ids in order, without added special tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +209,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str, separator: str = " ") -> DataFrame:
     """``encoded`` (with a column ``ids``) and the text of its ids, ``decoded``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = book(path).strings
+        known_strings = strings(path)
         for batch in batches:
             for part in slices(batch, "ids", BATCH_IDS):
                 lists = part.column("ids")
                 flat = lists.flatten()
-                known = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(strings))), flat, pa.scalar(None, flat.type))
-                named = pc.fill_null(strings.take(known), "")
+                known = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(known_strings))), flat, pa.scalar(None, flat.type))
+                named = pc.fill_null(known_strings.take(known), "")
                 sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
                 kept = pc.not_equal(named, "").to_numpy(zero_copy_only=False)
                 ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(sizes)])]
