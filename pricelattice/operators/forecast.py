@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.joins import join_on
 from ..functions.numeric import finite
 from ..functions.ranks import exact_quantiles
 from ..session import cut_lineage
+from . import linear, trees
 from .normalize import ensure_market_id, keep_last
 
 # ---- fixed values ----
@@ -29,6 +29,10 @@ BASELINES = {PERSISTENCE: "lag_1", LAG7: "lag_7"}
 METRICS = ["mae", "mse", "rmse", "r2", "mape_pct", "smape_pct", "wape_pct", "median_absolute_error", "mean_bias_error",
            "directional_accuracy_pct"]
 HORIZON = "next reported market observation"
+RIDGE_ALPHA = 1.0
+RULES = {TREE: trees.Rules(depth=8, min_leaf=5), FOREST: trees.Rules(depth=12, min_leaf=3),
+         BOOSTING: trees.Rules(depth=1 << 20, min_leaf=20, leaves=15)}
+BOOSTING_RATE = 0.05
 # ---- end of fixed values ----
 SERIES = ["commodity", "market_id"]
 
@@ -166,46 +170,43 @@ def baseline_predictions(df: DataFrame) -> DataFrame:
         F.col("__e.p").alias("predicted_price"), (F.col("__e.p") - F.col("modal_price")).alias("residual"))
 
 
-def encoder_stages(scale: bool) -> list:
-    """Numeric features plus one-hot market; an unseen market encodes as all zeros. Scaling only for the linear model."""
-    numeric = "numeric_scaled" if scale else "numeric"
-    stages = [StringIndexer(inputCol="market_id", outputCol="market_index", handleInvalid="keep"),
-              OneHotEncoder(inputCol="market_index", outputCol="market_onehot", handleInvalid="keep", dropLast=True),
-              VectorAssembler(inputCols=NUMERIC_FEATURES, outputCol="numeric")]
-    if scale:
-        stages.append(StandardScaler(inputCol="numeric", outputCol="numeric_scaled", withMean=True, withStd=True))
-    return [*stages, VectorAssembler(inputCols=[numeric, "market_onehot"], outputCol="features")]
-
-
 @dataclass(frozen=True)
 class ModelSizes:
     forest_trees: int = 200
     boosting_rounds: int = 150
 
 
-def estimators(n_train: int, label_sd: float, sizes: ModelSizes = ModelSizes(), alpha: float = 1.0) -> dict[str, Pipeline]:
-    """Ridge: the solver divides its penalty by the label's deviation, so alpha becomes alpha * sd / n; trees with the declared depth and leaf sizes.
+def fit_ridge(train: DataFrame, alpha: float = RIDGE_ALPHA) -> linear.RidgeModel:
+    """Scaled features and one column per market; an unseen market has none."""
+    return linear.fit_ridge(train, NUMERIC_FEATURES, "market_id", "modal_price", alpha)
+
+
+Fitted = linear.RidgeModel | trees.TreeModel
+MODELS = (RIDGE, TREE, FOREST, BOOSTING)
+
 
-    The boosted trees are bounded by depth 4 (at most 16 leaves) where the definition bounds leaves at 15.
-    """
-    common = {"labelCol": "modal_price", "featuresCol": "features", "predictionCol": "prediction"}
-    tree = {**common, "seed": SEED, "maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
-    models = {
-        RIDGE: LinearRegression(elasticNetParam=0.0, regParam=alpha * label_sd / max(n_train, 1), standardization=False, **common),
-        TREE: DecisionTreeRegressor(maxDepth=8, minInstancesPerNode=5, maxBins=64, **tree),
-        FOREST: RandomForestRegressor(numTrees=sizes.forest_trees, maxDepth=12, minInstancesPerNode=3, featureSubsetStrategy="all", **tree),
-        BOOSTING: GBTRegressor(maxIter=sizes.boosting_rounds, stepSize=0.05, maxDepth=4, maxBins=255, minInstancesPerNode=20, **tree),
+def fit_parts(frame: DataFrame, part: str, fits: int, names: list[str] | None = None, sizes: ModelSizes = ModelSizes()) -> list[dict[str, Fitted]]:
+    """Models of each fit; fit ``k`` learns from the rows whose ``part`` is at most ``k``. All tree models share one quantised table, and
+    the models are fitted side by side."""
+    names = [n for n in MODELS if n in (names or MODELS)]
+    table = trees.packed(frame, NUMERIC_FEATURES, "market_id", "modal_price", part, [*SERIES, "date"], fits) if set(names) - {RIDGE} else None
+    how = {
+        RIDGE: lambda: [fit_ridge(frame.where(F.col(part) <= k)) for k in range(fits)],
+        TREE: lambda: trees.single(table, RULES[TREE]),
+        FOREST: lambda: trees.forest(table, RULES[FOREST], sizes.forest_trees, SEED),
+        BOOSTING: lambda: trees.boosted(table, RULES[BOOSTING], sizes.boosting_rounds, BOOSTING_RATE),
     }
-    return {name: Pipeline(stages=[*encoder_stages(name == RIDGE), m]) for name, m in models.items()}
+    with ThreadPoolExecutor(max(1, len(names))) as pool:
+        running = {n: pool.submit(inheritable_thread_target(how[n])) for n in names}
+        fitted = {n: r.result() for n, r in running.items()}
+    return [{n: models[k] for n, models in fitted.items()} for k in range(fits)]
 
 
-def fit(train: DataFrame, names: list[str] | None = None, sizes: ModelSizes = ModelSizes()) -> dict[str, PipelineModel]:
-    told = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("modal_price").alias("sd")).first()
-    pipes = estimators(told["n"], told["sd"] or 1.0, sizes)
-    return {n: pipes[n].fit(train) for n in (names or list(pipes))}
+def fit(train: DataFrame, names: list[str] | None = None, sizes: ModelSizes = ModelSizes()) -> dict[str, Fitted]:
+    return fit_parts(train.withColumn("__part", F.lit(0)), "__part", 1, names, sizes)[0]
 
 
-def evaluate(partition: DataFrame, fitted: dict[str, PipelineModel]) -> tuple[DataFrame, DataFrame]:
+def evaluate(partition: DataFrame, fitted: dict[str, Fitted]) -> tuple[DataFrame, DataFrame]:
     """(metrics, long predictions) of the baselines and all fitted models on the same rows."""
     long = baseline_predictions(partition)
     for name, model in fitted.items():
@@ -220,7 +221,7 @@ class TrainingResult:
     validation: DataFrame
     predictions: DataFrame
     latest: DataFrame
-    model: PipelineModel | None
+    model: Fitted | None
 
 
 def select_model(validation: DataFrame) -> str:
@@ -230,14 +231,14 @@ def select_model(validation: DataFrame) -> str:
 
 def train_and_compare(df: DataFrame, commodity: str | None = None, min_market_observations: int = 120,
                       sizes: ModelSizes = ModelSizes(), names: list[str] | None = None) -> TrainingResult:
-    """Fit on train, select on validation, refit on train and validation, compare on test, forecast the next report."""
-    frame = cut_lineage(temporal_split(build_features(df, commodity, min_market_observations)))
-    part = {s: frame.where(F.col("split") == s) for s in ("train", "validation", "test")}
-    val_metrics = cut_lineage(evaluate(part["validation"], fit(part["train"], names, sizes))[0])
+    """Fit on train and on train with validation, select on validation, compare the second fit on test, forecast the next report."""
+    order = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2)
+    frame = cut_lineage(temporal_split(build_features(df, commodity, min_market_observations)).withColumn("__part", order))
+    part = {s: frame.where(F.col("split") == s) for s in ("validation", "test")}
+    first, final = fit_parts(frame, "__part", 2, names, sizes)
+    val_metrics = cut_lineage(evaluate(part["validation"], first)[0])
     chosen = select_model(val_metrics)
-    final = fit(frame.where(F.col("split") != "test"), names, sizes)
-    test_metrics, test_rows = evaluate(part["test"], final)
-    test_rows = cut_lineage(test_rows)
+    test_rows = cut_lineage(evaluate(part["test"], final)[1])
     test_metrics = metrics(test_rows, ["model"])
     comparison = compare_models(test_metrics, val_metrics, chosen)
     latest = forecast_latest(df, chosen, final.get(chosen), commodity, min_market_observations)
@@ -263,7 +264,7 @@ def latest_features(df: DataFrame, commodity: str | None = None, min_market_obse
     return x.where((F.col("date") == F.col("__last")) & (F.col("__n") >= max(14, min_market_observations))).drop("__n", "__last")
 
 
-def forecast_latest(df: DataFrame, model_name: str, model: PipelineModel | None = None, commodity: str | None = None,
+def forecast_latest(df: DataFrame, model_name: str, model: Fitted | None = None, commodity: str | None = None,
                     min_market_observations: int = 120) -> DataFrame:
     """One forecast per eligible market, all markets in a single pass."""
     x = latest_features(df, commodity, min_market_observations)
@@ -297,8 +298,10 @@ def save_artifacts(result: TrainingResult, df: DataFrame, folder: str) -> None:
     for name, table in (("model_comparison", result.comparison), ("validation_metrics", result.validation),
                         ("test_predictions", result.predictions), ("latest_forecasts", result.latest), ("dataset_manifest", dataset_manifest(df))):
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
+    kind = "none" if result.model is None else "trees" if isinstance(result.model, trees.TreeModel) else "ridge"
+    df.sparkSession.createDataFrame([(kind, result.selected)], "kind string, model string").write.mode("overwrite").parquet(f"{folder}/model_kind")
     if result.model is not None:
-        result.model.write().overwrite().save(f"{folder}/model")
+        result.model.save(df.sparkSession, f"{folder}/model")
 
 
 def serve_forecasts(spark, folder: str, market_ids: list[str] | None = None) -> DataFrame:
@@ -307,5 +310,9 @@ def serve_forecasts(spark, folder: str, market_ids: list[str] | None = None) ->
     return x.where(F.col("market_id").isin(market_ids)) if market_ids else x
 
 
-def load_model(folder: str) -> PipelineModel:
-    return PipelineModel.load(f"{folder}/model")
+def load_model(spark: SparkSession, folder: str) -> Fitted | None:
+    """The saved model; None where a baseline was selected."""
+    kind = spark.read.parquet(f"{folder}/model_kind").first()["kind"]
+    if kind == "none":
+        return None
+    return (trees.TreeModel if kind == "trees" else linear.RidgeModel).load(spark, f"{folder}/model")

@@ -35,18 +35,3 @@ def test_lead_lag_with_gaps_reads_every_month(spark):
 @pytest.mark.parametrize("name", ["agg11_dataset_statistics_whole", "agg15_density_pivot_whole"])
 def test_all_metrics_and_commodities(spark, name):
     against_sql(spark, name)
-
-
-def test_selection_compares_all_models(spark, monkeypatch):
-    from types import SimpleNamespace
-
-    from pricelattice.operators import forecast as fc
-    asked = {}
-
-    def caught(df, *args, names=None, **more):
-        asked["names"] = names
-        return SimpleNamespace(comparison=df)
-
-    monkeypatch.setattr(fc, "train_and_compare", caught)
-    entry_module.queries()["fc08_fc09_jn13_selection"](spark, FOLDER)
-    assert set(asked["names"] or fc.estimators(1, 1.0)) == {fc.RIDGE, fc.TREE, fc.FOREST, fc.BOOSTING}
