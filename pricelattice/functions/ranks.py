@@ -101,10 +101,25 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return out.select(*keys, "n", F.try_divide(F.col("__sxy"), F.sqrt("__sxx") * F.sqrt("__syy")).alias("rho"))
 
 
-def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, tie: list[str], out: str = "q_value") -> DataFrame:
-    """q-values within each family. The family is one result row per pair of at most ``max_markets`` markets."""
-    fam = Window.partitionBy(*keys)
-    asc = fam.orderBy(F.col(p), *tie)
-    desc = fam.orderBy(F.col(p).desc(), *[F.col(t).desc() for t in tie]).rowsBetween(Window.unboundedPreceding, 0)
-    raw = F.col(p) * F.count(F.lit(1)).over(fam) / F.row_number().over(asc)
-    return df.withColumn("__raw", raw).withColumn(out, F.least(F.lit(1.0), F.min("__raw").over(desc))).drop("__raw")
+def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, out: str = "q_value") -> DataFrame:
+    """q-values within each family of any size: the least ``p' n / rank(p')`` over all ``p' >= p``, at most 1.
+
+    Rows of equal p share a q-value, that of the last rank among them. Distinct p-values are counted (combined map-side) and placed in
+    monotone buckets; ranks and suffix minima run over a family's few thousand buckets and, inside one, over its p-values only. Null
+    p-values aren't part of the family and get none.
+    """
+    v = F.col("__v")
+    # equal widths above 1/16, equal ratios below: no bucket holds more than a few thousandths of evenly spread p-values
+    bucket = F.when(v >= 0.0625, F.floor(v * 4096)).when(v > 0, F.floor(F.ln(v) * 16)).otherwise(-20_000).cast("bigint")
+    counts = df.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("__v")).agg(F.count(F.lit(1)).alias("__c")).withColumn("__b", bucket)
+    family, inside = Window.partitionBy(*keys).orderBy("__b"), Window.partitionBy(*keys, "__b").orderBy("__v")
+    before, after = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    hist = counts.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"))
+    hist = hist.withColumns({"__n": F.sum("__bc").over(Window.partitionBy(*keys)), "__before": F.coalesce(F.sum("__bc").over(family.rowsBetween(*before)), F.lit(0))})
+    placed = join_on(counts, hist, [*keys, "__b"])
+    rank = F.col("__before") + F.sum("__c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    raw = placed.withColumn("__raw", v * F.col("__n") / rank)
+    later = raw.groupBy(*keys, "__b").agg(F.min("__raw").alias("__least")).withColumn("__later", F.min("__least").over(family.rowsBetween(*after))).drop("__least")
+    own = F.min("__raw").over(inside.rowsBetween(0, Window.unboundedFollowing))
+    q = join_on(raw, later, [*keys, "__b"]).select(*keys, F.col("__v").alias(p), F.least(F.lit(1.0), own, F.col("__later")).alias(out))
+    return join_on(df, q, [*keys, p], "left")

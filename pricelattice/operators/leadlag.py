@@ -110,7 +110,7 @@ def lead_lag_candidates(df: DataFrame, policy: LeadLagPolicy = LeadLagPolicy(),
 def lead_lag_edges(df: DataFrame, policy: LeadLagPolicy = LeadLagPolicy(), by: list[str] | None = None) -> DataFrame:
     """Directed edges that pass the |r| threshold and the false-discovery gate of their group."""
     by = by or ["commodity"]
-    cand = benjamini_hochberg(lead_lag_candidates(df, policy, by), by, "p_value", ["leader_id", "follower_id"])
+    cand = benjamini_hochberg(lead_lag_candidates(df, policy, by), by, "p_value")
     ok = (F.abs("corr") >= policy.min_abs_corr) & (F.col("q_value") <= policy.fdr_alpha)
     return cand.where(ok).select(*by, *EDGE_COLUMNS)
 

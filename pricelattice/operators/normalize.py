@@ -27,8 +27,13 @@ def rename_and_default(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
-#: Day-first forms of portals besides ISO, tried in this order.
-DATE_FORMS = ("d/M/yyyy", "d/M/yy", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "yyyy/M/d", "d-M-yyyy", "d MMM yyyy", "d-MMM-yyyy", "d MMMM yyyy", "d-MMM-yy", "d.M.yyyy")
+#: Day-first forms of portals besides ISO, each with the shape of its text; a text is parsed once, by the form that it has the shape of.
+DATE_FORMS = (
+    ("d/M/yyyy", r"\d{1,2}/\d{1,2}/\d{4}"), ("d/M/yy", r"\d{1,2}/\d{1,2}/\d{2}"), ("d/M/yyyy H:mm", r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}"),
+    ("d/M/yyyy H:mm:ss", r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}"), ("yyyy/M/d", r"\d{4}/\d{1,2}/\d{1,2}"), ("d-M-yyyy", r"\d{1,2}-\d{1,2}-\d{4}"),
+    ("d MMM yyyy", r"\d{1,2} \p{Alpha}{3} \d{4}"), ("d-MMM-yyyy", r"\d{1,2}-\p{Alpha}{3}-\d{4}"), ("d MMMM yyyy", r"\d{1,2} \p{Alpha}{4,} \d{4}"),
+    ("d-MMM-yy", r"\d{1,2}-\p{Alpha}{3}-\d{2}"), ("d.M.yyyy", r"\d{1,2}\.\d{1,2}\.\d{4}"))
+ISO = r"[+-]?\d{4,7}(-\d{1,2}(-\d{1,2}([ T].*)?)?)?"
 
 
 def parse_date(c: Column, is_text: bool = True) -> Column:
@@ -36,8 +41,10 @@ def parse_date(c: Column, is_text: bool = True) -> Column:
     if not is_text:
         return F.to_date(c)
     text = F.trim(c.cast("string"))
-    iso = F.when(~F.contains(text, F.lit("/")), F.to_date(F.try_to_timestamp(text)))
-    return F.coalesce(iso, *(F.to_date(F.try_to_timestamp(text, F.lit(form))) for form in DATE_FORMS))
+    out = F.when(text.rlike(f"^(?:{ISO})$"), F.to_date(F.try_to_timestamp(text)))
+    for form, shape in DATE_FORMS:
+        out = out.when(text.rlike(f"^(?:{shape})$"), F.to_date(F.try_to_timestamp(text, F.lit(form))))
+    return out
 
 
 def to_number(c: Column) -> Column:

@@ -59,16 +59,18 @@ def aggregate_market_daily(df: DataFrame, unbounded_groups: bool = False) -> Dat
     return ensure_market_id(out).select(*MARKET_DAY_KEY, *prices, "varieties", "source", "source_tier", "arrivals", "arrival_unit")
 
 
-def merge_market_daily(existing: DataFrame | None, incoming: DataFrame | None) -> DataFrame:
+def merge_market_daily(existing: DataFrame | None, incoming: DataFrame | None, look: bool = True) -> DataFrame:
     """Union two panels; per date, market and commodity the most authoritative row stays, incoming first on ties.
 
-    ``None`` stands for an absent side and returns the other one untouched.
+    An absent (``None``) or empty side returns the other one untouched. Looking for a first row runs a side's plan as far as that
+    takes; ``look=False`` leaves it out where neither side is a stored table and an empty one is known not to matter.
     """
-    if existing is None or incoming is None:
-        kept = incoming if existing is None else existing
-        if kept is None:
-            raise ValueError("nothing to merge")
-        return kept
+    if existing is None and incoming is None:
+        raise ValueError("nothing to merge")
+    if existing is None or (look and incoming is not None and existing.isEmpty()):
+        return existing if incoming is None else incoming
+    if incoming is None or (look and incoming.isEmpty()):
+        return existing
     both = existing.withColumn("__incoming", F.lit(0)).unionByName(
         incoming.withColumn("__incoming", F.lit(1)), allowMissingColumns=True)
     both = ensure_market_id(both).withColumn("date", F.to_date("date"))

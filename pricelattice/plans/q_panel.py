@@ -173,7 +173,7 @@ def _old_and_new(spark, d):
 
 @query("mrg01_authority_merge", o.select(MERGE, PANEL_COLS, "merged"))
 def _(spark, d):
-    return pan.merge_market_daily(*_old_and_new(spark, d)).select(*[c.split(":")[0] for c in PANEL_COLS.split()])
+    return pan.merge_market_daily(*_old_and_new(spark, d), look=False).select(*[c.split(":")[0] for c in PANEL_COLS.split()])
 
 
 @query("set01_union_all", o.select(MERGE.rsplit(",\n  ranked", 1)[0], "date:d market_id:s commodity:s modal_price:f", "both_"))
@@ -276,18 +276,6 @@ def _(spark, d):
     return cov.quality_before_after(wh.price_rows(spark, d, typed=True), wh.stored_panel(spark, d, typed=True), ROW_KEY, PANEL_KEY)
 
 
-@query("agg11_dataset_statistics", "WITH " + o.panel(True) + o.COORDS + """, a AS (SELECT count(*) AS n, count(DISTINCT state) AS st, count(DISTINCT district) AS di,
-    count(DISTINCT market_id) AS mk, count(DISTINCT commodity) AS co, strftime(min(date), '%Y-%m-%d') AS d0, strftime(max(date), '%Y-%m-%d') AS d1 FROM panel)
-  SELECT unnest(['processed_market_day_rows', 'states', 'districts', 'markets', 'commodities', 'date_min', 'date_max', 'raw_rows', 'coordinate_rows']) AS metric,
-    unnest([CAST(n AS VARCHAR), CAST(st AS VARCHAR), CAST(di AS VARCHAR), CAST(mk AS VARCHAR), CAST(co AS VARCHAR), d0, d1,
-      (SELECT CAST(count(*) AS VARCHAR) FROM price_rows), (SELECT CAST(count(*) AS VARCHAR) FROM coords)]) AS value FROM a""")
-def _(spark, d):
-    m = wh.coordinates(spark, d)
-    x = cov.dataset_statistics(wh.price_rows(spark, d, typed=True), wh.stored_panel(spark, d, typed=True), m)
-    rows = m.agg(F.lit("coordinate_rows").alias("metric"), F.count(F.lit(1)).cast("string").alias("value"))
-    return x.where(~F.col("metric").isin("arrival_coverage", "coordinate_coverage")).unionByName(rows)
-
-
 @query("agg11_dataset_statistics_whole", "WITH " + o.panel(True) + o.COORDS + """, a AS (SELECT count(*) AS n, count(DISTINCT state) AS st, count(DISTINCT district) AS di,
     count(DISTINCT market_id) AS mk, count(DISTINCT commodity) AS co, strftime(min(date), '%Y-%m-%d') AS d0, strftime(max(date), '%Y-%m-%d') AS d1,
     round(count(arrivals) / count(*), 6) AS ac FROM panel)
@@ -314,13 +302,6 @@ def _(spark, d):
     return cov.state_map_frame(wh.stored_panel(spark, d, typed=True), wh.coordinates(spark, d))
 
 
-@query("agg15_density_pivot", o.select(AUDIT + """, r AS (SELECT state, avg(reporting_density) FILTER (commodity = 'ECONOMY') AS economy,
-    avg(reporting_density) FILTER (commodity = 'STANDARD') AS standard FROM audit GROUP BY ALL)""", "state:s economy:f standard:f", "r"))
-def _(spark, d):
-    x = cov.density_pivot(cov.coverage_audit(wh.panel(spark, d, typed=True)), ["ECONOMY", "STANDARD"])
-    return x.withColumnsRenamed({"ECONOMY": "economy", "STANDARD": "standard"})
-
-
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 

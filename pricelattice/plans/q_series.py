@@ -53,17 +53,6 @@ def _(spark, d):
     return ret.market_returns(wh.panel(spark, d)).select("commodity", "date", "market_id", "market", "ret")
 
 
-@query("win02_report_positions", o.select(TYPED_RET + """, c AS (SELECT commodity, market_id, count(*) AS n FROM ret GROUP BY ALL),
-  k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY commodity ORDER BY n DESC, market_id) <= 10),
-  r AS (SELECT commodity, market_id, date, dense_rank() OVER (PARTITION BY commodity ORDER BY date) AS pos FROM ret SEMI JOIN k USING (commodity, market_id))""",
-    "commodity:s market_id:s date:d pos:i", "r"))
-def _(spark, d):
-    r = ret.market_returns(wh.panel(spark, d, typed=True))
-    kept = ret.top_markets(r, ["commodity"], 10)
-    x = r.join(kept.select("commodity", "market_id"), ["commodity", "market_id"], "left_semi")
-    return ret.with_position(x, ["commodity"]).select("commodity", "market_id", "date", "pos")
-
-
 @query("win02_report_positions_whole", o.select(TYPED_RET + """,
   r AS (SELECT commodity, market_id, date, dense_rank() OVER (PARTITION BY commodity ORDER BY date) AS pos FROM ret)""",
     "commodity:s market_id:s date:d pos:i", "r"))
@@ -89,20 +78,6 @@ def _(spark, d):
     return ll.lead_lag_edges(wh.panel(spark, d), GATED)
 
 
-DROPPED = o.panel().replace("panel AS (", "panel_ AS (") + ", panel AS (SELECT * FROM panel_ WHERE month(date) <> 12)" + o.RETURNS
-
-
-@query("cmp01_lead_lag_report_gaps", o.select(DROPPED + lead_lag_sql("commodity", 35, 40), EDGE_COLS, "edges_all"))
-def _(spark, d):
-    return ll.lead_lag_edges(wh.panel(spark, d).where(F.month("date") != 12), ALL_PAIRS)
-
-
-@query("cmp01_lead_lag_calendar", o.select(DROPPED + lead_lag_sql("commodity", 35, 40, calendar=True), EDGE_COLS, "edges_all"))
-def _(spark, d):
-    policy = LeadLagPolicy(min_abs_corr=0.0, fdr_alpha=1.0, lag_mode="calendar")
-    return ll.lead_lag_edges(wh.panel(spark, d).where(F.month("date") != 12), policy)
-
-
 # all rows stay: each year starts 40 days later than the calendar has it, so that reports have gaps between years
 SHIFTED = (o.panel().replace("panel AS (", "panel_ AS (") + ", panel AS (SELECT * REPLACE (CAST(date + CAST(40 * (year(date) - 1992) AS INTEGER) AS DATE) AS date) FROM panel_)"
            + o.RETURNS)
@@ -321,7 +296,7 @@ def _(spark, d):
 @query("sta05_benjamini_hochberg", o.select(DENSE_EDGES, "leader_id:s follower_id:s p_value:f q_value:f", "edges_all"))
 def _(spark, d):
     c = ll.lead_lag_candidates(wh.panel(spark, d), ALL_PAIRS)
-    return ranks.benjamini_hochberg(c, ["commodity"], "p_value", ["leader_id", "follower_id"]).select("leader_id", "follower_id", "p_value", "q_value")
+    return ranks.benjamini_hochberg(c, ["commodity"], "p_value").select("leader_id", "follower_id", "p_value", "q_value")
 
 
 # ---------- robust z, shocks, crunches ----------

@@ -8,6 +8,7 @@ from ..operators.coverage import data_mode
 from ..operators.normalize import RENAMES, ensure_market_id, normalize_prices
 from ..operators.panel import aggregate_market_daily
 from ..spec import MARKETS_SCHEMA, PANEL_SCHEMA, RAW_SCHEMA, WEATHER_SCHEMA
+from . import versions
 
 CATALOG_COLUMNS = {
     "commodities": ["commodity_id", "commodity_name"],
@@ -49,7 +50,9 @@ def load_weather(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_panel(spark: SparkSession, path: str) -> DataFrame:
-    return load_optional(spark, path, PANEL_SCHEMA)
+    """A stored panel: of versions where it has manifests, else plain Parquet; an absent one is empty."""
+    merged = versions.read(spark, path) if versions.is_versioned(spark, path) else None
+    return load_optional(spark, path, PANEL_SCHEMA) if merged is None else merged
 
 
 def side_tables(spark: SparkSession, panel: DataFrame, real: dict[str, str], demo: dict[str, str]) -> dict[str, DataFrame]:

@@ -13,32 +13,29 @@ from ..operators.normalize import ensure_market_id
 from ..operators.panel import merge_market_daily
 from ..session import cut_lineage
 from ..spec import ReadinessPolicy, SelectionPolicy
+from . import versions
 from .readers import path_exists
 
-MAX_FILE_ROWS = 5_000_000  # keeps part files far below the 2 GB that one binaryFile row can hold
 DATA = "data"
 
 
 def write_panel(panel: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Panel as Parquet by commodity and year, so commodity and date predicates prune files."""
-    out = panel.withColumn("year", F.year("date"))
-    out.repartition("commodity", "year").write.option("maxRecordsPerFile", MAX_FILE_ROWS).partitionBy("commodity", "year").mode(mode).parquet(path)
+    out = panel.withColumn("year", F.year("date")).hint("rebalance", F.col("commodity"), F.col("year"))
+    out.write.option("maxRecordsPerFile", versions.MAX_FILE_ROWS).partitionBy("commodity", "year").mode(mode).parquet(path)
 
 
 def upsert_panel(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
-    """Merge into a stored panel. Only commodity-year partitions that receive rows are read and rewritten."""
+    """Merge into a stored panel of versions (``sources/versions.py``): only the commodity-year pairs that receive rows are scanned
+    and written, beside the current ones, and one rename of a manifest makes them current."""
     incoming = cut_lineage(incoming)
-    if not path_exists(spark, path):
-        write_panel(incoming, path)
-        return spark.read.parquet(path).drop("year")
-    stored = spark.read.parquet(path)
-    touched = incoming.select("commodity", F.year("date").alias("year")).distinct()
-    old = stored.join(touched, ["commodity", "year"], "left_semi").drop("year")
-    # the merged rows leave the folder they replace before it is overwritten
-    merged = cut_lineage(merge_market_daily(old, incoming).withColumn("year", F.year("date")))
-    writer = merged.repartition("commodity", "year").write.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", MAX_FILE_ROWS)
-    writer.partitionBy("commodity", "year").mode("overwrite").parquet(path)
-    return spark.read.parquet(path).drop("year")
+    pairs = versions.touched_pairs(incoming)
+    number, manifest = versions.current(spark, path)
+    if pairs:
+        version = versions.stage(merge_market_daily(versions.read(spark, path, pairs), incoming, look=False), path)
+        versions.publish(spark, path, number + 1, manifest | dict.fromkeys(pairs, version))
+    merged = versions.read(spark, path)
+    return incoming if merged is None else merged
 
 
 def write_result(df: DataFrame, folder: str, name: str) -> None:
@@ -114,7 +111,7 @@ def freeze_scope(spark: SparkSession, prices: DataFrame, markets: DataFrame | No
     if weather is not None:
         w = ensure_market_id(weather).withColumn("date", F.to_date("date")).join(ids, "market_id", "left_semi")
         w = w.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-        w.write.option("maxRecordsPerFile", MAX_FILE_ROWS).parquet(f"{data}/weather_daily")
+        w.write.option("maxRecordsPerFile", versions.MAX_FILE_ROWS).parquet(f"{data}/weather_daily")
     gates.write.json(f"{data}/readiness")
     manifest = file_hashes(spark, data).withColumns({
         "label": F.lit(label), "readiness": F.lit(status["readiness"]), "start_date": F.lit(start), "end_date": F.lit(end),

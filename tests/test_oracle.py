@@ -8,7 +8,7 @@ from oracle_check import compare, connect
 import __spark_entry__ as entry_module
 
 FOLDER = "/root/testdata/sf0.001"
-QUICK = ["src04_data_mode_probe", "nrm08_keep_last", "agg02_coverage_audit", "cmp01_lead_lag_calendar", "cmp08_jn08_jn09_event_study",
+QUICK = ["src04_data_mode_probe", "nrm08_keep_last", "agg02_coverage_audit", "cmp01_lead_lag_year_gaps_calendar", "cmp08_jn08_jn09_event_study",
          "sta04_average_ranks", "pln06_resolve_names", "src05_envelope_rows", "win12_declustered_events"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not mounted")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pricelattice.operators import events as ev, forecast as fc, panel as pan, planning as pl, readiness as rd, weather as we
 from pricelattice.operators.normalize import normalize_prices
 from pricelattice.plans import batch
-from pricelattice.sources import envelopes as en, imports as im, readers, sinks
+from pricelattice.sources import envelopes as en, imports as im, readers, sinks, versions
 from pricelattice.spec import EventPolicy, LeadLagPolicy, MARKETS_SCHEMA, RAW_SCHEMA, ReadinessPolicy, WEATHER_SCHEMA
 from pricelattice.streaming.ingest import ingest_folder
 
@@ -158,11 +158,52 @@ def test_demo_scope_is_refused(spark, folder):
 def test_panel_upsert_touches_only_its_partitions(spark, folder, small_panel):
     path = f"{folder}/panel"
     sinks.upsert_panel(spark, small_panel, path)
+    first = versions.current(spark, path)[1]
     newer = small_panel.where("market = 'A'").withColumn("modal_price", F.lit(7.0))
     out = sinks.upsert_panel(spark, newer, path)
     assert out.count() == 240 and out.where("modal_price = 7.0").count() == 80
-    other = small_panel.where("market = 'B'").withColumn("commodity", F.lit("Tomato"))
+    other = small_panel.where("market = 'B'").withColumn("commodity", F.lit("Tomato = 1/2"))
     assert sinks.upsert_panel(spark, other, path).count() == 320
+    number, manifest = versions.current(spark, path)
+    assert number == 3 and set(manifest) == {("Onion", 2024), ("Tomato = 1/2", 2024)} and first.items().isdisjoint(manifest.items())
+    unknown = small_panel.where("market = 'C'").withColumns({"commodity": F.lit(None).cast("string"), "date": F.add_months("date", 12)})
+    merged = sinks.upsert_panel(spark, unknown, path)
+    assert merged.count() == 400 and merged.where("commodity is null").count() == 80 and sorted(merged.columns) == sorted(small_panel.columns)
+    assert readers.load_panel(spark, path).count() == 400 and sinks.upsert_panel(spark, small_panel.limit(0), path).count() == 400
+    assert versions.vacuum(spark, path) == 1 and readers.load_panel(spark, path).count() == 400
+
+
+def test_upsert_scans_the_touched_pairs_only(spark, folder, small_panel):
+    path = f"{folder}/panel"
+    many = small_panel.unionByName(small_panel.withColumn("commodity", F.lit("Tomato"))).unionByName(small_panel.withColumn("date", F.add_months("date", 24)))
+    sinks.upsert_panel(spark, many, path)
+    old = versions.read(spark, path, [("Tomato", 2024)])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        scan = next(x for x in old._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "2024=Tomato" in scan[scan.index("PartitionFilters"):scan.index("PushedFilters")] and old.count() == 240
+    assert versions.read(spark, path, [("Potato", 2024)]) is None
+
+
+def test_killed_upsert_leaves_the_old_panel(spark, folder, small_panel, monkeypatch):
+    path = f"{folder}/panel"
+    sinks.upsert_panel(spark, small_panel, path)
+    before = sorted(map(tuple, readers.load_panel(spark, path).select("date", "market_id", "modal_price").collect()))
+
+    def killed(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "publish", killed)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.upsert_panel(spark, small_panel.withColumn("modal_price", F.lit(9.0)), path)
+    assert sorted(map(tuple, readers.load_panel(spark, path).select("date", "market_id", "modal_price").collect())) == before
+    assert sinks.upsert_panel(spark, small_panel.withColumn("modal_price", F.lit(9.0)), path).where("modal_price = 9.0").count() == 240
+    number, manifest = versions.current(spark, path)
+    with pytest.raises(RuntimeError, match="another run"):
+        versions.publish(spark, path, number, manifest)
 
 
 def test_streamed_files_merge_once(spark, folder):
