@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import median, t_two_sided
 from ..functions.ranks import benjamini_hochberg
+from ..session import cut_lineage
 from ..spec import LeadLagPolicy
 from .returns import market_returns, top_markets, with_position
 
@@ -110,7 +111,8 @@ def lead_lag_candidates(df: DataFrame, policy: LeadLagPolicy = LeadLagPolicy(),
 def lead_lag_edges(df: DataFrame, policy: LeadLagPolicy = LeadLagPolicy(), by: list[str] | None = None) -> DataFrame:
     """Directed edges that pass the |r| threshold and the false-discovery gate of their group."""
     by = by or ["commodity"]
-    cand = benjamini_hochberg(lead_lag_candidates(df, policy, by), by, "p_value")
+    # the candidates are read by the correction's counts and by the join of its result: work them out once
+    cand = benjamini_hochberg(cut_lineage(lead_lag_candidates(df, policy, by)), by, "p_value")
     ok = (F.abs("corr") >= policy.min_abs_corr) & (F.col("q_value") <= policy.fdr_alpha)
     return cand.where(ok).select(*by, *EDGE_COLUMNS)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import forecast as fc
+from ..session import shared_folder
 from ..sources import warehouse as wh
 from . import oracle as o
 from .queries import query
@@ -79,11 +80,24 @@ def _(spark, d):
     return fc.metrics(fc.baseline_predictions(x), ["model"]).drop("mse")
 
 
-@query("fc10_latest_forecast", o.select(LATEST + ", r AS (SELECT market_id, date AS last_observed_date, modal_price AS last_observed_price, lag_7 AS predicted_next_report_price, (SELECT max(date) FROM panel) AS historical_data_through FROM y)",
-    "market_id:s last_observed_date:d last_observed_price:f predicted_next_report_price:f historical_data_through:d", "r"))
+FORECASTS = (LATEST + ", r AS (SELECT market_id, date AS last_observed_date, modal_price AS last_observed_price, lag_7 AS predicted_next_report_price, (SELECT max(date) FROM panel) AS historical_data_through FROM y)",
+             "market_id:s last_observed_date:d last_observed_price:f predicted_next_report_price:f historical_data_through:d", "r")
+FORECAST_COLS = ["market_id", "last_observed_date", "last_observed_price", "predicted_next_report_price", "historical_data_through"]
+
+
+@query("fc10_latest_forecast", o.select(*FORECASTS))
+def _(spark, d):
+    return fc.forecast_latest(wh.stored_panel(spark, d), fc.LAG7).select(*FORECAST_COLS)
+
+
+@query("fc11_served_forecasts", o.select(*FORECASTS))
 def _(spark, d):
-    x = fc.forecast_latest(wh.stored_panel(spark, d), fc.LAG7)
-    return x.select("market_id", "last_observed_date", "last_observed_price", "predicted_next_report_price", "historical_data_through")
+    x, folder = wh.stored_panel(spark, d), shared_folder(spark, "forecasts")
+    test = fc.baseline_predictions(fc.temporal_split(fc.build_features(x)).where(F.col("split") == "test"))
+    scores = fc.metrics(test, ["model"])
+    fc.save_artifacts(fc.TrainingResult(fc.LAG7, scores, scores, test, fc.forecast_latest(x, fc.LAG7), None), x, folder)
+    assert fc.load_model(spark, folder) is None  # a baseline has no model to load
+    return fc.serve_forecasts(spark, folder).select(*FORECAST_COLS)
 
 
 @query("snk10_dataset_manifest", o.select(o.panel(True) + """, r AS (SELECT array_to_string(list_sort(list(DISTINCT state)), ',') AS states, count(DISTINCT market_id) AS market_count, count(*) AS processed_rows,

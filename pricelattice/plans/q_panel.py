@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import coverage as cov, normalize as nrm, panel as pan
-from ..sources import warehouse as wh
+from ..session import shared_folder
+from ..sources import readers, sinks, warehouse as wh
 from ..spec import PANEL_KEY, ROW_KEY, SelectionPolicy
 from . import oracle as o
 from .queries import query
@@ -82,6 +83,25 @@ def _(spark, d):
                                   F.count("max_price").alias("with_max"), F.count("arrivals").alias("with_q"))
 
 
+# the untidy rows land as files of two headings, in other column orders, and are read back
+LANDED = ["commodity", "state", "arrival_date", "market", "modal_price", "min_price",
+          "max_price", "arrival_quantity", "arrival_unit", "district", "variety", "grade", "source", "source_tier", "data_mode"]
+
+
+@query("src03_landed_chunks", o.select(TEXT.rsplit(",\n  norm AS", 1)[0] + """, s AS (SELECT state, commodity, count(*) AS n, count(min_price) AS with_min,
+  count(max_price) AS with_max, count(arrivals) AS with_q, sum(modal_price) AS prices, min(date) AS first_date, max(date) AS last_date FROM ruled GROUP BY ALL)""",
+  "state:s commodity:s n:i with_min:i with_max:i with_q:i prices:f first_date:d last_date:d", "s"))
+def _(spark, d):
+    x, folder = wh.text_rows(spark, d), shared_folder(spark, "chunks")
+    for k, part in enumerate((x.where("l_linenumber % 3 = 0").select(*LANDED), x.where("l_linenumber % 3 <> 0").select(*reversed(LANDED)).withColumnsRenamed(nrm.RENAMES))):
+        part.write.option("header", True).option("quoteAll", k == 0).csv(f"{folder}/{k}")
+    rows = nrm.rename_and_default(readers.read_chunks(spark, folder))
+    ruled = nrm.row_rules(nrm.coerce_types(rows.withColumn("state", text.canonical_state(F.col("state")))))
+    return ruled.groupBy("state", "commodity").agg(
+        F.count(F.lit(1)).alias("n"), F.count("min_price").alias("with_min"), F.count("max_price").alias("with_max"), F.count("arrivals").alias("with_q"),
+        F.sum("modal_price").alias("prices"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
 @query("nrm08_keep_last", o.select(o.last_rows(True), "date:d state:s district:s market:s commodity:s variety:s grade:s modal_price:f arrivals:f l_orderkey:i l_linenumber:i", "last_rows"))
 def _(spark, d):
     x = nrm.keep_last(wh.price_rows(spark, d, typed=True), ROW_KEY, wh.INGEST_ORDER)
@@ -176,6 +196,14 @@ def _(spark, d):
     return pan.merge_market_daily(*_old_and_new(spark, d), look=False).select(*[c.split(":")[0] for c in PANEL_COLS.split()])
 
 
+@query("snk02_versioned_upsert", o.select(MERGE, PANEL_COLS, "merged"))
+def _(spark, d):
+    old, new = _old_and_new(spark, d)
+    folder = shared_folder(spark, "panel")
+    sinks.upsert_panel(spark, old, folder)
+    return sinks.upsert_panel(spark, new, folder).select(*[c.split(":")[0] for c in PANEL_COLS.split()])
+
+
 @query("set01_union_all", o.select(MERGE.rsplit(",\n  ranked", 1)[0], "date:d market_id:s commodity:s modal_price:f", "both_"))
 def _(spark, d):
     a, b = _old_and_new(spark, d)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.coverage import data_mode
 from ..operators.normalize import RENAMES, ensure_market_id, normalize_prices
@@ -67,43 +67,38 @@ def side_tables(spark: SparkSession, panel: DataFrame, real: dict[str, str], dem
     return out
 
 
-def chunk_groups(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, list[str]]]:
-    """CSV files by heading line: ``(heading, files)``; empty files have none and are left out.
-
-    The first line of a file is that with the lowest row number among those of its first block."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(paths)
-    first = lines.where("_metadata.file_block_start = 0").select(
-        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row"), "value")
-    heads = first.groupBy("path").agg(F.min_by("value", "row").alias("heading"))
-    found = heads.groupBy("heading").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("heading").collect()
-    return [(r["heading"], r["paths"]) for r in found if r["heading"] and r["heading"].strip()]
-
-
 def read_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All CSV chunks below a folder (or in a list), columns matched by heading whatever their order; absent ones are NULL.
 
-    ``INGEST_ORDER`` columns tell which of two rows landed later. Headings without any known column are refused."""
-    known = {c.split()[0] for c in RAW_SCHEMA.split(", ")} | set(RENAMES)
-    groups = chunk_groups(spark, paths)
-    unknown = [heading for heading, _ in groups if not known & {h.strip().strip('"') for h in heading.split(",")}]
-    if unknown:
-        raise ValueError(f"no known column in: {unknown[0]}")
-    return read_mixed_chunks(spark, [files for _, files in groups])
-
-
-def read_mixed_chunks(spark: SparkSession, groups: list[list[str]]) -> DataFrame:
-    """Chunk files grouped by equal headings, united by name; columns absent from a group become NULL."""
-    parts = []
-    for paths in groups:
-        part = landed(spark.read.option("header", True).option("inferSchema", False).csv(paths))
-        # old headings get their canonical names here, so that groups with either meet in one column
-        parts.append(part.withColumnsRenamed({k: v for k, v in RENAMES.items() if k in part.columns and v not in part.columns}))
-    if not parts:
+    One scan reads all lines. A small table holds each file's heading and where it has each known column; lines join it by file and
+    are parsed once, into an array from which columns are taken by place. Only the widest heading's number of columns and one
+    unknown heading, if any, reach the driver. A file's heading is its first line that isn't blank; lines equal to it are headings, too.
+    ``INGEST_ORDER`` columns tell which of two rows landed later. Headings without any known column are refused; values
+    must not hold line ends.
+    """
+    lines = landed(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(paths)).where(F.trim("value") != "")
+    heads = lines.where("chunk_start = 0").groupBy("chunk_path").agg(F.min_by("value", "chunk_row").alias("heading"))
+    width = F.size(F.split("heading", ","))
+    names = F.transform(F.split(F.regexp_replace("heading", "^\ufeff", ""), ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
+    known = [*(c.split()[0] for c in RAW_SCHEMA.split(", ")), "market_id"]
+    strange = ~F.arrays_overlap(names, F.array(*map(F.lit, [*known, *RENAMES])))
+    told = heads.agg(F.max(width).alias("width"), F.min(F.when(strange, F.col("heading"))).alias("strange")).first()
+    if told["strange"] is not None:
+        raise ValueError(f"no known column in: {told['strange']}")
+    if told["width"] is None:
         return landed(spark.createDataFrame([], RAW_SCHEMA), of_files=False)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    olds = {new: old for old, new in RENAMES.items()}
+
+    def place(column: str) -> Column:
+        at = F.array_position("names", column)
+        # an old heading counts where its canonical name is absent
+        return F.when(at == 0, F.array_position("names", olds[column])).otherwise(at) if column in olds else at
+
+    places = heads.withColumn("names", names).select(F.col("chunk_path").alias("__file"), "heading", F.struct(*(place(c).cast("int").alias(c) for c in known)).alias("at"))
+    cells = ", ".join(f"c{k} string" for k in range(told["width"]))
+    rows = lines.join(places, lines["chunk_path"] == places["__file"]).where(F.col("value") != F.col("heading"))
+    rows = rows.withColumn("row", F.from_csv("value", cells, {"escape": '"'})).withColumn("row", F.array(*(F.col(f"row.c{k}") for k in range(told["width"]))))
+    return rows.select(*(F.when(F.col(f"at.{c}") > 0, F.element_at("row", F.col(f"at.{c}"))).alias(c) for c in known), *INGEST_ORDER)
 
 
 #: A row's place among all landed rows: file time, file, block, row within it.

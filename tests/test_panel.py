@@ -170,3 +170,23 @@ def test_chunks_are_read_by_heading_and_in_order(spark, folder):
     open(f"{folder}/a/4.csv", "w").write("x,y\n1,2\n")
     with pytest.raises(ValueError):
         read_chunks(spark, folder)
+
+
+def test_many_headings_take_one_branch(spark, folder):
+    import os
+    import random
+    from pricelattice.sources.readers import read_chunks
+    draw, names = random.Random(1), ["state", "date", "market", "commodity", "modal_price", "min_price", "variety", "extra one", "extra two"]
+    os.makedirs(f"{folder}/in")
+    want = set()
+    for k in range(60):
+        heading = draw.sample(names, len(names) - k % 3)
+        values = {n: f'"a, {n} ""{k}"""' if n == "variety" else f"{n}{k}" for n in names}
+        rows = [",".join(values[h] for h in heading), "", ",".join("" if h == "market" else values[h] for h in heading)]
+        open(f"{folder}/in/{k}.csv", "w").write(("﻿" if k % 7 == 0 else "") + ("\n" if k % 5 == 0 else "") + ",".join(f'"{h}"' if k % 2 else h for h in heading) + "\n" + "\n".join(rows) + "\n")
+        for blank in (False, True):
+            want.add(tuple(None if n not in heading or (blank and n == "market") else f'a, variety "{k}"' if n == "variety" else f"{n}{k}" for n in names[:7]))
+    rows = read_chunks(spark, f"{folder}/in")
+    assert {tuple(r[n] for n in names[:7]) for r in rows.collect()} == want and rows.count() == 120
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and "Union" not in plan and rows.filter("arrivals is not null").count() == 0
