@@ -10,42 +10,51 @@ from pyspark.sql import Column, functions as F
 from ..spec import ACCEPTABLE_TIERS, STATE_ALIASES, TIER_RANK
 
 
+def _class(codes: list[int]) -> str:
+    """Regular-expression class of ascending code points."""
+    out, start = [], None
+    for k, code in enumerate(codes):
+        start = code if start is None else start
+        if k + 1 == len(codes) or codes[k + 1] != code + 1:
+            out.append(f"\\x{{{start:X}}}-\\x{{{code:X}}}")
+            start = None
+    return "[" + "".join(out) + "]"
+
+
 @lru_cache(maxsize=1)
 def _combining_class() -> str:
-    """Regular-expression class of all characters with a non-zero combining class (vowel signs of Indic scripts have none)."""
-    out, code = [], 0x300
-    while code < 0x1F000:
-        end = code
-        while unicodedata.combining(chr(end)):
-            end += 1
-        if end > code:
-            out.append(f"\\x{{{code:X}}}-\\x{{{end - 1:X}}}")
-        code = end + 1
-    return "[" + "".join(out) + "]"
+    """All characters with a non-zero combining class (vowel signs of Indic scripts have none)."""
+    return _class([c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))])
 
 
 @lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str]:
-    """Characters whose compatibility decomposition leaves one base character."""
-    src, dst = [], []
-    for code in range(0xA0, 0x1FBFA):
+def _fold_tables() -> tuple[str, str, str, str, str]:
+    """Characters whose compatibility decomposition leaves one base character, and the base characters; a class of those that leave none
+    or several, and both sides of that map, parts set off by a control character."""
+    one, several = {}, {}
+    for code in (*range(0xA0, 0x1FBFA), *range(0x2F800, 0x2FA1E)):
         ch = chr(code)
-        if not unicodedata.decomposition(ch):
-            continue
-        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if len(base) == 1 and base != ch:
-            src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+        full = "" if 0xD800 <= code < 0xE000 else unicodedata.normalize("NFKD", ch)
+        base = "".join(c for c in full if not unicodedata.combining(c))
+        if full not in ("", ch) and not unicodedata.combining(ch) and base != ch:
+            (one if len(base) == 1 else several)[ch] = base
+    return "".join(one), "".join(one.values()), _class(sorted(map(ord, several))), PART.join(several), PART.join(several.values())
+
+
+PART = "\x01"
 
 
 def fold_marks(c: Column) -> Column:
-    """Replace accented and compatibility characters by their base character and drop combining marks.
+    """The compatibility decomposition without combining marks, for every character: accents go, ligatures, fractions and Hangul syllables
+    fall into their parts.
 
-    The long ``translate`` map runs only for text that holds a non-ASCII character. Characters that decompose into several stay.
+    The long ``translate`` map runs only for text that holds a non-ASCII character, the map to several characters only for text that
+    holds one of them.
     """
-    src, dst = _fold_table()
-    folded = F.regexp_replace(F.translate(c, src, dst), _combining_class(), "")
+    src, dst, class_, names, parts = _fold_tables()
+    table = F.map_from_arrays(F.split(F.lit(names), PART), F.split(F.lit(parts), PART))
+    wide = F.when(c.rlike(class_), F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")).otherwise(c)
+    folded = F.regexp_replace(F.translate(wide, src, dst), _combining_class(), "")
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 

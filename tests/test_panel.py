@@ -155,6 +155,20 @@ def test_folding_keeps_vowel_signs(spark):
     assert spark.range(1).select(canonical_state(F.lit("गुजरात"))).first()[0] == "गुजरात"
 
 
+def test_folding_equals_full_decomposition(spark):
+    import unicodedata
+    from pricelattice.functions.text import fold_marks, slug
+    chars = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 and (unicodedata.decomposition(chr(c)) or 0xAC00 <= c < 0xD7A4 and c % 7 == 0 or c % 997 == 0)]
+    # runs of characters, as names have them
+    texts = ["".join(chars[k:k + 5]) for k in range(0, len(chars), 5)] + ["ﬁne ½ Ǆ 한국", "plain", "", "ﷺ x", "क़लम ㍿", None]
+    x = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = x.select("t", fold_marks(F.col("t")).alias("folded"), slug(F.col("t")).alias("slug")).collect()
+    for r in rows:
+        full = unicodedata.normalize("NFKD", r.t or "")
+        assert r.folded == (None if r.t is None else "".join(c for c in full if not unicodedata.combining(c))), r.t
+    assert {r.t: r.slug for r in rows}["ﬁne ½ Ǆ 한국"] == "fine_12_dz"
+
+
 def test_chunks_are_read_by_heading_and_in_order(spark, folder):
     import os
     os.makedirs(f"{folder}/a")
