@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.text import make_market_id
 from ..operators.normalize import keep_last
 from ..operators.panel import aggregate_market_daily
-from ..session import cut_lineage
+from ..session import shared_folder
 from ..spec import ROW_KEY
 
 INGEST_ORDER = ["l_orderkey", "l_linenumber"]
@@ -62,8 +62,11 @@ def panel(spark: SparkSession, folder: str, typed: bool = False, fine: bool = Fa
 
 
 def stored_panel(spark: SparkSession, folder: str, typed: bool = False, fine: bool = False) -> DataFrame:
-    """The panel written once to the checkpoint folder, for work that reads it several times."""
-    return cut_lineage(panel(spark, folder, typed, fine))
+    """The panel written once as Parquet to the shared folder, for work that reads it several times: each reader scans its own columns, and
+    its predicates reach the files."""
+    rows, path = panel(spark, folder, typed, fine), shared_folder(spark, "panel")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def text_rows(spark: SparkSession, folder: str) -> DataFrame:
