@@ -7,7 +7,9 @@ that holds a third of all pages is no hot group). A second pass extracts every p
 has none of them (a different layout, or one of a kind) uses its own best container.
 
 A page is read by one scan over its tags with a stack; unclosed ``p``, ``li`` and the like close as in browsers, anything else
-left open closes with its parent or the page. Cost is linear in the page.
+left open closes with its parent or the page. A tag ends at its first ``>`` outside quotes; a quote that never closes is a
+character, and a tag without such a ``>`` ends at the first one at all. Cost is linear in the page, however deep it nests and whatever its quotes:
+containers point to the one around them, and paths of more than ``LONG_PATH`` characters begin with a digest of what lies above.
 
 Defined results: null or empty html, or a page without text, gives an empty text; a null url is a host of its own; repeated
 rows give repeated results; an empty table gives an empty table; further columns are ignored.
@@ -15,7 +17,9 @@ rows give repeated results; an empty table gives an empty table; further columns
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -43,24 +47,91 @@ SIDE_WORDS = re.compile(
     r"social\w*|related\w*|recommend\w*|widget\w*|toolbar|pagination|pager|tags?|search\w*|skip|hidden|legal|copyright|toc|teaser\w*)(?=$|[\s_-])", re.I)
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
-_piece = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_attribute = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_name = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+_turn = re.compile("[>\"']")
+_attribute = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?")
 _gap = re.compile(r"\s+")
+#: Longer paths begin with a digest of what lies above.
+LONG_PATH = 1_000
+
+
+class _Tags:
+    """The tags of a page from left to right, in time linear in its length whatever its quotes: where an attribute list ends is
+    remembered for every place behind a closing quote, so no stretch is read twice."""
+
+    def __init__(self, html: str):
+        self.html, self.ends = html, {}
+        self.ahead: dict[str, int] = {}
+        self.special = -1
+
+    def find(self, what: str, at: int) -> int:
+        """First place of ``what`` at or after ``at``, remembered while places ascend; the page's length if there is none."""
+        known = self.ahead.get(what, -1)
+        if known < at:
+            known = self.html.find(what, at)
+            known = self.ahead[what] = len(self.html) if known < 0 else known
+        return known
+
+    def _next_turn(self, at: int) -> int:
+        if self.special < at:
+            found = _turn.search(self.html, at)
+            self.special = found.start() if found else len(self.html)
+        return self.special
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag whose attributes begin at ``at``; quoted ones don't count, a quote that is never
+        closed is a character. A tag that has none outside quotes ends at its first ``>``; -1 if there is none at all."""
+        html, size, passed, here = self.html, len(self.html), [], at
+        while (found := self.ends.get(here)) is None:
+            turn = self._next_turn(here) if here >= at else size
+            if turn == size or html[turn] == ">":
+                found = turn
+                break
+            passed.append(here)
+            close = self.find(html[turn], turn + 1) if turn + 1 < size else size
+            here = (close if close < size else turn) + 1
+        for place in (*passed, here):
+            self.ends[place] = found
+        if found < size:
+            return found
+        return html.find(">", at)
+
+    def __iter__(self):
+        """Each tag as (start, end, closing, name, attributes); comments and declarations with no name."""
+        html, size, at = self.html, len(self.html), 0
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith(("<!--", "<![CDATA["), start):
+                mark = "-->" if html.startswith("<!--", start) else "]]>"
+                end = html.find(mark, start + (4 if mark == "-->" else 9))
+                end, piece = (size if end < 0 else end + 3), None
+            elif html.startswith(("<!", "<?"), start):
+                end = html.find(">", start)
+                end, piece = (size if end < 0 else end + 1), None
+            elif (name := _name.match(html, start + 1)) is None:
+                at = start + 1
+                continue
+            else:
+                end = self.end(name.end())
+                if end < 0:
+                    return
+                end, piece = end + 1, (html[start + 1] == "/", name[1].lower(), html[name.end():end])
+            skip = yield start, end, piece
+            at = skip or end
 
 
 class _Node:
-    __slots__ = ("tag", "path", "side", "text", "links", "blocks", "inside")
+    __slots__ = ("tag", "path", "side", "text", "links", "blocks", "within", "base", "run_links")
 
-    def __init__(self, tag: str, path: str, side: bool, inside: tuple):
-        self.tag, self.path, self.side, self.inside = tag, path, side, inside
+    def __init__(self, tag: str, path: str, side: bool, within: int, base: int, run_links: int):
+        self.tag, self.path, self.side, self.within, self.base, self.run_links = tag, path, side, within, base, run_links
         self.text = self.links = self.blocks = 0
 
 
 def _look(tag: str, attributes: str) -> tuple[str, bool]:
     """Generalised name of an element, and whether it is beside the article."""
     side, name = tag in ASIDE, tag
-    if attributes:
-        given = {k.lower(): v.strip("\"'") for k, v in _attribute.findall(attributes)}
+    if attributes and not attributes.isspace():
+        given = {k.lower(): v.strip("\"'") for k, v in _attribute.findall(attributes) if v}
         names = f"{given.get('class', '')} {given.get('id', '')}".strip()
         if names:
             side = side or (tag not in ("body", "html", "article", "main") and bool(SIDE_WORDS.search(unescape(names))))
@@ -71,12 +142,14 @@ def _look(tag: str, attributes: str) -> tuple[str, bool]:
     return name, side
 
 
-def blocks(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], list[_Node]]:
-    """The page's text blocks in order (text, enclosing containers, beside the article, characters in links) and its containers."""
-    root = _Node("", "", False, ())
+def blocks(html: str) -> tuple[list[tuple[str, int, bool, int]], list[_Node]]:
+    """The page's text blocks in order (text, number of the nearest container or -1, beside the article, characters in links) and its
+    containers; a container's ``within`` is the number of the next one around it, always a lower one."""
+    root = _Node("", "", False, -1, 0, 0)
     stack, nodes, out = [root], [], []
     parts: list[str] = []
-    linked, depth_link, silent = 0, 0, 0
+    linked, silent = 0, 0
+    open_: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal linked
@@ -85,40 +158,48 @@ def blocks(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], lis
             parts.clear()
             if text:
                 top = stack[-1]
-                out.append((text, top.inside, top.side, min(linked, len(text))))
-                for k in top.inside if not top.side else ():
-                    node = nodes[k]
-                    node.text, node.links, node.blocks = node.text + len(text), node.links + min(linked, len(text)), node.blocks + 1
+                in_links = min(linked, len(text))
+                home = homes[-1] if homes else -1
+                out.append((text, home, top.side, in_links))
+                if home >= 0 and not top.side:
+                    node = nodes[home]
+                    node.text, node.links, node.blocks = node.text + len(text), node.links + in_links, node.blocks + 1
         linked = 0
 
+    homes: list[int] = []  # numbers of the open containers
+
     def pop() -> None:
-        nonlocal depth_link, silent
+        nonlocal silent
         node = stack.pop()
-        if node.tag == "a":
-            depth_link -= 1
+        open_[node.tag] -= 1
+        if node.tag in CONTAINER:
+            homes.pop()
         if node.tag in SILENT:
             silent -= 1
 
-    at = 0
+    at, tags = 0, _Tags(html)
+    pieces, skip = iter(tags), None
     while True:
-        found = _piece.search(html, at)
-        end = found.start() if found else len(html)
-        if end > at and not silent:
-            piece = html[at:end]
-            parts.append(piece)
-            if depth_link:
-                linked += len(piece.strip())
-        if not found:
+        try:
+            start, end, piece = pieces.send(skip)
+        except StopIteration:
+            start, end, piece = len(html), -1, None
+        skip = None
+        if start > at and not silent:
+            text = html[at:start]
+            parts.append(text)
+            if open_["a"]:
+                linked += len(text.strip())
+        if end < 0:
             break
-        at = found.end()
-        tag = found[2]
-        if not tag:
+        at = end
+        if piece is None:
             continue
-        tag = tag.lower()
+        closing, tag, attributes = piece
         if tag == "br" and not silent:
             parts.append(" ")
-        if found[1]:
-            if any(n.tag == tag for n in stack[1:]):
+        if closing:
+            if open_[tag] > 0:
                 if tag in BLOCK:
                     flush()
                 while stack[-1].tag != tag:
@@ -130,45 +211,52 @@ def blocks(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, int]], lis
         if tag in BLOCK:
             flush()
             # an open paragraph ends where a block begins, and so do its unclosed inline elements
-            k = len(stack) - 1
-            while k and stack[k].tag in INLINE:
-                k -= 1
+            k = stack[-1].base
             if stack[k].tag == "p" or (stack[k].tag in HEADINGS and tag in HEADINGS):
                 while len(stack) > k:
                     pop()
-            elif all(n.tag != "a" for n in stack[k + 1:]):
+            elif not stack[-1].run_links:
                 while len(stack) > k + 1:
                     pop()
             same = CLOSES.get(tag, "").split()
             if same and stack[-1].tag in same:
                 while stack[-1].tag in same:
                     pop()
-        if tag in VOID or found[3].rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         parent = stack[-1]
-        name, side = _look(tag, found[3])
-        path = f"{parent.path}/{name}" if tag in BLOCK else parent.path
-        inside = parent.inside
+        name, side = _look(tag, attributes)
+        path = _below(parent.path, name) if tag in BLOCK else parent.path
         # a header within the article holds its heading; one outside is the site's
-        if tag == "header" and not parent.side and any(s.tag in ("article", "main") for s in stack):
+        if tag == "header" and not parent.side and open_["article"] + open_["main"] > 0:
             side = parent.side or bool(SIDE_WORDS.search(re.sub(r"(?i)header", "", name.partition(".")[2].replace(".", " "))))
-        node = _Node(tag, path, parent.side or side, inside)
+        inline = tag in INLINE
+        node = _Node(tag, path, parent.side or side, homes[-1] if homes else -1, parent.base if inline else len(stack), (parent.run_links if inline else 0) + (inline and tag == "a"))
         if tag in CONTAINER:
-            node.inside = (*inside, len(nodes))
+            homes.append(len(nodes))
             nodes.append(node)
         stack.append(node)
-        if tag == "a":
-            depth_link += 1
+        open_[tag] += 1
         if tag in SILENT:
             silent += 1
         if tag in RAW:
             close = re.compile(f"</{tag}\\s*>", re.I).search(html, at)
-            at = close.end() if close else len(html)
+            skip = at = close.end() if close else len(html)
             pop()
     flush()
+    for node in reversed(nodes):  # what lies in a container lies in those around it
+        if node.within >= 0 and not node.side:
+            around = nodes[node.within]
+            around.text, around.links, around.blocks = around.text + node.text, around.links + node.links, around.blocks + node.blocks
     return out, nodes
 
 
+def _below(path: str, name: str) -> str:
+    if len(path) > LONG_PATH:
+        path = f"#{hashlib.md5(path.encode('utf-8', 'surrogatepass')).hexdigest()}"
+    return f"{path}/{name}"
+
+
 def _score(node: _Node, total: int) -> float:
     """Share of the page's article-like text, less what sits in links; named article parts count for more."""
     if node.side or not node.text:
@@ -193,8 +281,10 @@ def text_of(page: tuple[list, list[_Node]], paths: list[str]) -> str:
     """The text under the first of ``paths`` that the page has; else under its own best container; else all that isn't beside it."""
     found, nodes = page
     for path in [*paths, *(p for p, _ in votes(page))]:
-        inside = {k for k, n in enumerate(nodes) if n.path == path and not n.side}
-        lines = [t for t, where, side, _ in found if not side and not inside.isdisjoint(where)]
+        inside: list[bool] = []
+        for n in nodes:
+            inside.append(n.path == path and not n.side or n.within >= 0 and inside[n.within])
+        lines = [t for t, at, side, _ in found if not side and at >= 0 and inside[at]]
         if lines:
             return "\n".join(lines)
     return "\n".join(t for t, _, side, linked in found if not side and 2 * linked <= len(t))
