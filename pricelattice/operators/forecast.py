@@ -197,7 +197,7 @@ def fit_parts(frame: DataFrame, part: str, fits: int, names: list[str] | None =
         BOOSTING: lambda: trees.boosted(table, RULES[BOOSTING], sizes.boosting_rounds, BOOSTING_RATE),
     }
     with ThreadPoolExecutor(max(1, len(names))) as pool:
-        running = {n: pool.submit(inheritable_thread_target(how[n])) for n in names}
+        running = {n: pool.submit(inheritable_thread_target(frame.sparkSession)(how[n])) for n in names}
         fitted = {n: r.result() for n, r in running.items()}
     return [{n: models[k] for n, models in fitted.items()} for k in range(fits)]
 

@@ -204,3 +204,11 @@ def test_many_headings_take_one_branch(spark, folder):
     assert {tuple(r[n] for n in names[:7]) for r in rows.collect()} == want and rows.count() == 120
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 2 and "Union" not in plan and rows.filter("arrivals is not null").count() == 0
+
+
+def test_only_local_sessions_do_without_a_shared_folder():
+    from pricelattice.session import shared_root
+    assert shared_root("s3a://b/c/", "/w", "yarn") == "s3a://b/c" and shared_root("", "/w/", "local[4]") == "/w"
+    for master in ("yarn", "spark://h:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            shared_root(None, "/w", master)
