@@ -18,3 +18,16 @@ def plan_of(df):
 def test_false_discovery_query_works_its_candidates_out_once(spark):
     plan = plan_of(entry_module.queries()["sta05_benjamini_hochberg"](spark, FOLDER))
     assert "FlatMapGroupsInPandas" not in plan and "lineitem" not in plan
+
+
+@tables
+@pytest.mark.parametrize("name", ["nrm01_normalize_prices", "nrm05_nrm07_row_rules", "src01_panel_scan"])
+def test_normaliser_parses_once_in_compiled_code(spark, name):
+    df = entry_module.queries()[name](spark, FOLDER)
+    optimized = df._jdf.queryExecution().optimizedPlan().toString()
+    conditions = [line for line in optimized.splitlines() if line.strip(" :+-|").startswith("Filter")]
+    assert conditions and not any("gettimestamp" in line for line in conditions)
+    methods = df._jdf.queryExecution().debug().codegenToSeq()
+    for k in range(methods.size()):
+        # HotSpot leaves methods of more than 8,000 bytes to the interpreter
+        assert methods.apply(k)._3().maxMethodCodeSize() < 8_000
