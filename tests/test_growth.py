@@ -20,6 +20,39 @@ def test_false_discovery_query_works_its_candidates_out_once(spark):
     assert "FlatMapGroupsInPandas" not in plan and "lineitem" not in plan
 
 
+def test_ascii_fold_is_the_ascii_part_of_the_whole_folding(spark):
+    from pyspark.sql import functions as F
+
+    from pricelattice.functions import text
+    chars = spark.range(1, 0x30000).where("id < 55296 or id > 57343").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32").alias("c"))
+    pair = chars.select(F.concat(F.lit("a"), "c", F.lit("b"), "c").alias("s"))
+    wrong = pair.where(~text.ascii_fold(F.col("s")).eqNullSafe(F.regexp_replace(text.fold_marks(F.col("s")), r"[^\x00-\x7F]", "")))
+    assert pair.count() > 190_000 and wrong.isEmpty()
+
+
+def test_market_ids_are_small_in_plans(spark):
+    from pyspark.sql import functions as F
+
+    from pricelattice.functions.text import make_market_id
+    x = spark.createDataFrame([("Bihar", "Gayā", "½ Mandi")], "s string, d string, m string")
+    out = x.select(make_market_id(F.col("s"), F.col("d"), F.col("m")).alias("id"))
+    assert out.first()[0] == "bihar__gaya__12_mandi"
+    assert len(plan_of(out)) < 150_000
+
+
+def test_titles_and_states(spark):
+    from pyspark.sql import functions as F
+
+    from pricelattice.functions import text
+    rows = [("ASIA", "Asia"), ("tamil  nadu", "Tamil  Nadu"), ("o'neil-west x1y", "O'Neil-West X1Y"), ("MIDDLE EAST", "Middle East"), ("ÉTÉ d", "Été D"), ("", "")]
+    x = spark.createDataFrame(rows, "s string, want string")
+    assert [r[0] for r in x.select(text.title_case(F.col("s"))).collect()] == [w for _, w in rows]
+    states = [(" NCT\tof  delhi ", "Delhi"), ("\tOrissa", "Odisha"), ("Mahārāshtra", "Maharashtra"), ("west  bengal", "West  Bengal"), (None, "")]
+    x = spark.createDataFrame(states, "s string, want string")
+    assert [r[0] for r in x.select(text.canonical_state(F.col("s"))).collect()] == [w for _, w in states]
+
+
 @tables
 @pytest.mark.parametrize("name", ["nrm01_normalize_prices", "nrm05_nrm07_row_rules", "src01_panel_scan"])
 def test_normaliser_parses_once_in_compiled_code(spark, name):
