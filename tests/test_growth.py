@@ -64,3 +64,23 @@ def test_normaliser_parses_once_in_compiled_code(spark, name):
     for k in range(methods.size()):
         # HotSpot leaves methods of more than 8,000 bytes to the interpreter
         assert methods.apply(k)._3().maxMethodCodeSize() < 8_000
+
+
+def test_only_large_market_days_take_their_medians_by_buckets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pricelattice.operators import panel
+    rows = spark.range(900).select(
+        F.lit("2024-01-01").cast("date").alias("date"), F.lit("S").alias("state"), F.lit("D").alias("district"),
+        F.when(F.col("id") % 3 > 0, "Big").when(F.col("id") % 2 == 0, "Small").alias("market"), F.lit("Onion").alias("commodity"), F.lit("REAL").alias("data_mode"),
+        F.concat(F.lit("v"), F.col("id") % 7).alias("variety"), (F.pmod(F.hash("id"), F.lit(997)) + 0.25).alias("modal_price"),
+        F.when(F.col("id") % 4 > 0, F.col("id") * 1.5).alias("min_price"), F.lit(None).cast("double").alias("max_price"),
+        (F.col("id") % 11).cast("double").alias("arrivals"), F.lit("unit").alias("arrival_unit"), F.lit("X").alias("source"), F.lit("Y").alias("source_tier"))
+    want = sorted(map(str, panel.aggregate_market_daily(rows).collect()))
+    assert len(want) == 3
+    few = panel.aggregate_market_daily(rows, unbounded_groups=True)
+    assert "Window" not in plan_of(few) and sorted(map(str, few.collect())) == want
+    for limit in (500, 149, 0):
+        monkeypatch.setattr(panel, "LARGE_GROUP", limit)
+        split = panel.aggregate_market_daily(rows, unbounded_groups=True)
+        assert "Window" in plan_of(split) and sorted(map(str, split.collect())) == want
