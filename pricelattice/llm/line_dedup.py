@@ -137,6 +137,11 @@ def _named(rank: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return begin, size, stir(name + size.astype(np.uint64))
 
 
+def parity(rank: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """64 bits of each set: two sets differ in no more bits than words."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (stir(rank + np.uint64(77)) & np.uint64(63)), begin)
+
+
 def prefix_of(rank: np.ndarray, begin: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of the sets' prefixes and how many each has: pairs of words in succession, single words where less than two thirds must agree."""
     if 3 * percent > 200:
@@ -176,7 +181,7 @@ def records(docs: DataFrame, order, percent: int) -> DataFrame:
                 if not len(rank):
                     continue
                 begin, size, name = _named(rank, owner)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (stir(rank + np.uint64(77)) & np.uint64(63)), begin)
+                bits = parity(rank, begin)
                 token, most = prefix_of(rank, begin, size, percent)
                 held.append((name, bits, size, most, token))
                 which = owner[begin]
@@ -307,11 +312,14 @@ def later(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     lines = sorted(({r[0]: r for r in rows}).values(), key=lambda r: r[1])
     sets = [np.frombuffer(r[3], np.uint64) for r in lines]
     size = np.array([len(s) for s in sets])
+    bits = parity(np.concatenate(sets), np.cumsum(size) - size)
     out = []
     for k in range(1, len(lines)):
         if lines[k][2]:
-            # length filter first, then the earliest lines first
-            for j in np.flatnonzero((100 * size[:k] >= percent * size[k]) & (100 * size[k] >= percent * size[:k])).tolist():
+            # length and parity first, then the earliest lines first
+            differ = np.bitwise_count(bits[:k] ^ bits[k]).astype(np.int64)
+            fits = (100 * size[:k] >= percent * size[k]) & (100 * size[k] >= percent * size[:k])
+            for j in np.flatnonzero(fits & (differ * (100 + percent) <= (100 - percent) * (size[:k] + size[k]))).tolist():
                 if reaches(sets[k], sets[j], percent):
                     out.append((lines[j][0], lines[k][0]))
                     break

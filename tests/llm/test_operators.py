@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from pricelattice.llm import (chat, decision_list, decontaminate, html_paths, line_dedup, mixture, secrets, token_counts,
@@ -176,6 +177,70 @@ def test_line_dedup_equals_all_pairs(docs, texts, nothing, monkeypatch):
     assert line_dedup.dedup(nothing).collect() == [] and sum(w[3] for w in want) > 100
 
 
+def test_line_dedup_fetches_the_sets_of_near_lines_only(spark, monkeypatch):
+    """Lines of one small vocabulary, none similar to another but two: all share their words, but only those two are looked at in full."""
+    draw = random.Random(11)
+    lines = [prose(draw, 20, 60) for _ in range(3_000)]
+    lines[2_000] = lines[7] + " more"
+    fetched, store = [], line_dedup.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        if name == "keys":
+            fetched.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    docs = spark.createDataFrame([(k, "\n".join(lines[k * 30:k * 30 + 30])) for k in range(100)], "doc_id bigint, text string")
+    got = {r.doc_id: r.removed for r in line_dedup.removed_lines(docs).collect() if r.removed}
+    assert got == {66: [20]} and len(fetched) == 1 and 2 <= fetched[0] < 300
+
+
+def test_line_dedup_of_tokens_rich_in_pairs(spark):
+    draw = random.Random(12)
+    base, rows = prose(draw, 24, 10**6).split(), []
+    for k in range(160):
+        words = list(base)
+        for _ in range(draw.randrange(0, 5)):
+            words[draw.randrange(len(words))] = f"n{draw.randrange(10**6)}"
+        rows.append((k, " ".join(words) + "\n" + prose(draw, 9, 10**6)))
+    gone = dedup_brute(rows, 80)
+    got = {r.doc_id: set(r.removed) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.removed}
+    assert got == {i: x for i, x in gone.items() if x} and len(got) > 50
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+@pytest.mark.parametrize("rich", [1, 16])
+def test_line_dedup_partners_leave_no_similar_pair_out(percent, rich, monkeypatch):
+    monkeypatch.setattr(line_dedup, "RICH", rich)
+    draw = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        whole = draw.integers(1, 1 << 59, draw.integers(2, 140)).astype(np.uint64)
+        for lost in (0, 0.02, 0.08, 0.2):
+            other = whole.copy()
+            other[draw.random(len(whole)) < lost] = draw.integers(1, 1 << 59)
+            sets.append(np.unique(other))
+    sets = list({s.tobytes(): s for s in sets}.values())
+    size = np.array([len(s) for s in sets])
+    rank, begin = np.concatenate(sets), np.cumsum(size) - size
+    token, most = line_dedup.prefix_of(rank, begin, size, percent)
+    owner = np.repeat(np.arange(len(sets)), most)
+    by = np.lexsort((size[owner], token))
+    token, owner = token[by], owner[by]
+    one, two, on = line_dedup.partners(token, size[owner], line_dedup.parity(rank, begin)[owner], percent)
+    met = collections.Counter((min(p), max(p)) for p in zip(owner[one].tolist(), owner[two].tolist()))
+    rich_of = [set(token[on & (owner == k)].tolist()) for k in range(len(sets))]
+    similar = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * same >= percent * (size[i] + size[j] - same):
+                similar += 1
+                assert met[(j, i)] >= line_dedup.shared_tokens(min(size[i], size[j]), percent) or rich_of[i] & rich_of[j]
+    assert similar > 30
+
+
 # decontamination
 
 def edits(a, b):
