@@ -14,7 +14,8 @@ fetched and verified exactly with the *positional filter*. Digests of 64 bits st
 
 *Copies in bulk.* What is asked of a line is whether any earlier line is similar, so a search ends with the first hit. Where a token is rich in
 pairs, its lines go on instead of them. Then each line goes to one bucket only (large ones in parts that share one line); what isn't removed there is searched
-against all lines of its buckets, in bounded cells. Pairs within a group of copies are never written out.
+against all lines of its buckets, by their lengths and 256 parity bits first, so that sets move only to likely partners. Pairs within a group of copies
+are never written out.
 
 Defined results: null or empty texts have no lines; repeated rows of an id are one text's lines at the same places, so all of
 them lose a line together or keep it; a null id counts as lower than any other; a document that loses every line with a word keeps the
@@ -47,6 +48,10 @@ LONGEST = (1 << 16) - 1
 #: Places are dealt by the first 12 bits of a token. A task writes entries after so many and looks at so many or one place's together. Of a
 #: token that more than ``MANY`` lines have, or that gives more than ``RICH`` pairs a line, all lines go on unseen, at the latest when a place has ``CROWD``.
 BUCKETS, FLUSH, HELD, MANY, RICH, CROWD = 1 << 12, 1 << 20, 1 << 18, 1 << 12, 16, 1 << 21
+#: Lines of a cell that are compared without looking at their lengths and bits first.
+FEW = 4
+#: Lines of one bucket whose parity bits a task compares at once (twice as many where two parts of a bucket meet), some 100 bytes each.
+SIGNED = 1 << 14
 
 
 def shared_tokens(size, percent: int):
@@ -142,6 +147,15 @@ def parity(rank: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.uint64(1) << (stir(rank + np.uint64(77)) & np.uint64(63)), begin)
 
 
+def parities(rank: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The same in 256 bits, four words a set."""
+    place = stir(rank + np.uint64(77))
+    bit, word, owner = np.uint64(1) << (place & np.uint64(63)), (place >> np.uint64(6) & np.uint64(3)).astype(np.int64), np.repeat(np.arange(len(begin)), size)
+    out = np.zeros((len(begin), 4), np.uint64)
+    np.bitwise_xor.at(out, (owner, word), bit)
+    return out
+
+
 def prefix_of(rank: np.ndarray, begin: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of the sets' prefixes and how many each has: pairs of words in succession, single words where less than two thirds must agree."""
     if 3 * percent > 200:
@@ -202,7 +216,7 @@ def records(docs: DataFrame, order, percent: int) -> DataFrame:
 
 def partners(word: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of distinct entries in order of word, then size: the pairs at a word that length and bits don't exclude, and which entries' words are too rich for pairs."""
-    new = np.r_[True, word[1:] != word[:-1]]
+    new = np.r_[True, word[1:] != word[:-1]][:len(word)]
     group, count = np.cumsum(new) - 1, np.diff(np.r_[np.flatnonzero(new), len(word)])
     rich, found = count > MANY, np.zeros(len(count), np.int64)
     one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -242,6 +256,11 @@ def meetings(given: DataFrame, percent: int) -> DataFrame:
         """Rows of what goes on, what is still held, and the words of which everything goes on."""
         entry = np.concatenate([e for _, e in held])
         word = np.concatenate([np.full(len(e), b, np.uint64) for b, e in held]) << np.uint64(32) | entry["token"]
+        if whole:  # a word that one line has gives no pair
+            by = np.argsort(word)
+            same = word[by[1:]] == word[by[:-1]]
+            by = by[np.r_[False, same] | np.r_[same, False] | np.isin(word[by], crowded)] if len(by) else by
+            entry, word = entry[by], word[by]
         by = np.lexsort((entry["tag"], entry["bits"], word << np.uint64(16) | entry["size"]))
         entry, word = entry[by], word[by]
         new = np.ones(len(word), bool)  # copies of a line
@@ -311,6 +330,9 @@ def later(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     """Of a cell's lines (``id, place, probe, keys``; places as comparable text), the probes with an earlier similar line: ``(earlier, later)``."""
     lines = sorted(({r[0]: r for r in rows}).values(), key=lambda r: r[1])
     sets = [np.frombuffer(r[3], np.uint64) for r in lines]
+    if len(lines) <= FEW:
+        firsts = ((k, next((j for j in range(k) if reaches(sets[k], sets[j], percent)), None)) for k, r in enumerate(lines) if r[2])
+        return [(lines[j][0], lines[k][0]) for k, j in firsts if j is not None]
     size = np.array([len(s) for s in sets])
     bits = parity(np.concatenate(sets), np.cumsum(size) - size)
     out = []
@@ -326,6 +348,18 @@ def later(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def likely(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Of a bucket's lines (``id, place, probe, size, bits``), all pairs ``(earlier, later)`` of a later probe that length and parity don't exclude."""
+    lines = sorted(rows, key=lambda r: r[1])
+    size, bits = np.array([r[3] for r in lines]), np.frombuffer(b"".join(r[4] for r in lines), np.uint64).reshape(-1, 4)
+    out = []
+    for k in (k for k, r in enumerate(lines) if r[2]):
+        fits = np.flatnonzero((100 * size[:k] >= percent * size[k]) & (100 * size[k] >= percent * size[:k]))
+        differ = np.bitwise_count(bits[fits] ^ bits[k]).sum(1).astype(np.int64)
+        out += [(lines[j][0], lines[k][0]) for j in fits[differ * (100 + percent) <= (100 - percent) * (size[fits] + size[k])].tolist()]
+    return out
+
+
 def removals(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """All lines with a word (``doc_id, line, name``) and the sets (``name, doc_id, line, gone``) with their first place."""
     docs = documents(docs)
@@ -361,23 +395,29 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
                 taken = pa.array(row[same])
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(c).take(taken) for c in ("name", "doc_id", "line")),
-                    pa.array([rank[b:b + n].tobytes() for b, n in zip(begin[same].tolist(), size[same].tolist())], pa.binary())], names=["name", "doc_id", "line", "keys"])
+                    pa.array([rank[b:b + n].tobytes() for b, n in zip(begin[same].tolist(), size[same].tolist())], pa.binary()),
+                    pa.array(size[same].astype(np.int32)), pa.array([b.tobytes() for b in parities(rank, begin, size)[same]], pa.binary())],
+                    names=["name", "doc_id", "line", "keys", "size", "bits"])
 
     few = per_doc.count() <= BROADCAST_DOCS
     texts = docs.join(F.broadcast(per_doc) if few else per_doc, docs["doc_id"].eqNullSafe(per_doc["doc_id"])).select(docs["doc_id"], F.explode(let(
         F.split("text", "\n"), lambda parts: F.transform("wanted", lambda w: F.struct(w["name"].alias("name"), w["line"].alias("line"), F.get(parts, w["line"]).alias("text"))))).alias("w"))
-    sets = stored(texts.select("doc_id", "w.*").filter("text is not null").mapInArrow(keys, f"name bigint, doc_id {kind.simpleString()}, line int, keys binary"), "keys").select(
-        "name", F.struct("doc_id", "line").alias("place"), "keys")
+    sets = stored(texts.select("doc_id", "w.*").filter("text is not null").mapInArrow(
+        keys, f"name bigint, doc_id {kind.simpleString()}, line int, keys binary, size int, bits binary"), "keys").select(
+        "name", F.struct("doc_id", "line").alias("place"), "keys", "size", "bits")
 
     def search(members: DataFrame) -> DataFrame:
         # places become one sortable number per cell: documents and lines in order
         return stored(run_cells(members.select("cell", "name", F.struct("place.doc_id", "place.line").alias("place"), "probe", "keys"),
                                 ["name", "place", "probe", "keys"], lambda rows: later([(r[0], _place(r[1]), r[2], r[3]) for r in rows], percent)), "removed")
 
-    # pairs, each later line with the earlier ones that it met
-    members = pairs.select(F.col("late").alias("cell"), F.col("late").alias("name"), F.lit(True).alias("probe")).unionByName(
-        pairs.select(F.col("late").alias("cell"), F.col("early").alias("name"), F.lit(False).alias("probe"))).distinct()
-    paired_off = search(members.join(sets, "name")).select(F.col("b").alias("name"))
+    def against(pairs: DataFrame) -> DataFrame:
+        # each later line with the earlier ones that it met
+        members = pairs.select(F.col("late").alias("cell"), F.col("late").alias("name"), F.lit(True).alias("probe")).unionByName(
+            pairs.select(F.col("late").alias("cell"), F.col("early").alias("name"), F.lit(False).alias("probe"))).distinct()
+        return search(members.join(sets, "name")).select(F.col("b").alias("name"))
+
+    paired_off = against(pairs)
 
     # of rich words, first each line in its largest bucket, in parts that share one line
     parts = F.greatest(F.lit(1), F.ceil(F.col("held") / PART)).cast("int")
@@ -388,17 +428,16 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
     first = placed.unionByName(anchors).distinct().select(F.xxhash64("word", "part").alias("cell"), "name", F.lit(True).alias("probe"))
     gone = search(first.join(sets, "name")).select(F.col("b").alias("name")).unionByName(paired_off).distinct()
 
-    # then what is left, against all lines of its buckets
+    # then what is left, against all lines of its buckets: their bits first
     left = live.join(gone.withColumn("gone", F.lit(True)), "name", "left").select("name", "word", "held", F.col("gone").isNull().alias("probe"))
-    open_words = left.filter("probe").groupBy("word").agg(F.count("*").alias("probes"))
-    split = left.join(open_words, "word").withColumn("parts", F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("held") / PART)))).cast("int"))
+    open_words = left.filter("probe").select("word").distinct()
+    split = left.join(open_words, "word", "left_semi").withColumn("parts", F.ceil(F.col("held") / SIGNED).cast("int"))
     split = split.withColumn("mine", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
     paired = split.select("word", "name", "probe", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    lists = paired.groupBy("word", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(
-        F.sort_array(F.collect_set(F.struct("name", "probe"))).alias("members"), F.max("probe").alias("any")).filter(F.col("any") & (F.size("members") > 1))
-    cells = lists.groupBy(F.xxhash64("members").alias("cell")).agg(F.first("members").alias("members"))
-    second = cells.select("cell", F.explode("members").alias("m")).select("cell", "m.name", "m.probe").join(sets, "name")
-    more = search(second).select(F.col("b").alias("name"))
+    signed = paired.select(F.xxhash64("word", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "name", "probe").join(
+        sets.select("name", "place", "size", "bits"), "name")
+    second = run_cells(signed, ["name", "place", "probe", "size", "bits"], lambda rows: likely([(r[0], _place(r[1]), *r[2:]) for r in rows], percent))
+    more = against(stored(second.select(F.col("a").alias("early"), F.col("b").alias("late")).distinct(), "likely"))
     removed = stored(gone.unionByName(more).distinct(), "gone")
     table = firsts.select("name", "at.*").join(removed.withColumn("gone", F.lit(True)), "name", "left").select(
         "name", "doc_id", "line", F.coalesce("gone", F.lit(False)).alias("gone"))

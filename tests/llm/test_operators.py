@@ -209,6 +209,54 @@ def test_line_dedup_of_tokens_rich_in_pairs(spark):
     assert got == {i: x for i, x in gone.items() if x} and len(got) > 50
 
 
+def test_line_dedup_sends_a_line_once_to_each_of_its_buckets(spark, monkeypatch):
+    """Many lines with a word in common that aren't similar: the rows of a search don't grow with the square of a bucket."""
+    monkeypatch.setattr(line_dedup, "PART", 8)
+    draw = random.Random(13)
+    base, rows = prose(draw, 24, 10**6).split(), []
+    for k in range(600):
+        words = list(base)
+        for _ in range(draw.randrange(0, 6)):
+            words[draw.randrange(len(words))] = f"n{draw.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    moved, live, run, store = [], [], line_dedup.run_cells, line_dedup.stored
+
+    def counted(members, *rest):
+        moved.append(members.count())
+        return run(members, *rest)
+
+    def seen(df, name):
+        out = store(df, name)
+        if name == "live":
+            live.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "run_cells", counted)
+    monkeypatch.setattr(line_dedup, "stored", seen)
+    gone = dedup_brute(rows, 80)
+    got = {r.doc_id: set(r.removed) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.removed}
+    assert got == {i: x for i, x in gone.items() if x} and len(got) > 50
+    assert live[0] > 500 and max(moved) <= live[0], (moved, live)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+@pytest.mark.parametrize("rich", [1, 16])
+def test_line_dedup_likely_pairs_hold_every_similar_one(percent, rich):
+    draw = np.random.default_rng(rich)
+    whole, sets = draw.choice(10**6, 150, replace=False).astype(np.uint64), []
+    for k in range(80):
+        size = 30 if k % 2 else 150
+        other = whole[:size].copy()
+        swap = draw.random(size) < draw.choice([0, 0.02, 0.06, 0.15, 0.4])
+        other[swap] = draw.integers(10**7, 10**9, int(swap.sum()))
+        sets.append(np.unique(other))
+    size = np.array([len(s) for s in sets])
+    bits = line_dedup.parities(np.concatenate(sets), np.cumsum(size) - size, size)
+    found = set(line_dedup.likely([(k, (True, k, 0), k % rich == 0, int(size[k]), bits[k].tobytes()) for k in range(80)], percent))
+    want = {(j, i) for i in range(80) if i % rich == 0 for j in range(i) if 100 * len(same := np.intersect1d(sets[i], sets[j])) >= percent * (size[i] + size[j] - len(same))}
+    assert want <= found and want and all(100 * min(size[i], size[j]) >= percent * max(size[i], size[j]) and i % rich == 0 for j, i in found)
+
+
 @pytest.mark.parametrize("percent", [60, 80, 95])
 @pytest.mark.parametrize("rich", [1, 16])
 def test_line_dedup_partners_leave_no_similar_pair_out(percent, rich, monkeypatch):
