@@ -6,14 +6,16 @@ several and which many texts have. Sets are sorted by that integer, rare n-grams
 this one the first n-grams of a document without neighbours are mostly its own, and it takes no further part.
 
 *Trie.* Two sets with Jaccard ``t`` or more share an n-gram among the first ``n - ceil(t n) + 1`` of each; documents that share one meet.
-Where they meet, the sorted sets are stored in a path-compressed trie, and each set is driven down it: the overlap so far is
-shared by all sets below a node, and a subtree is left as soon as no set below it can still reach the overlap that its lengths ask for.
+Where they meet, those that length and parity bits don't tell apart are one group. Its sorted sets are stored in a path-compressed
+trie, and each set is driven down it: the overlap so far is shared by all sets below a node, and a subtree is left as soon as no set
+below it can still reach the overlap that its lengths ask for.
 
 *Large groups of copies.* Equal sets are one class from the start. Links are wanted up to connection only, so traversal skips
-what is connected already and a cell returns edges that connect, never its pairs. Documents that meet over any n-grams are one
-*area*; one of up to ``AREA_BYTES`` is a cell. In a larger one each document goes to its most frequent n-gram first, in parts that
-share one document; components are labelled, and only the n-grams at which two components still meet are searched in full, part against
-part. No task holds an area or a bucket, and no pair is left out.
+what is connected already and a cell returns edges that connect, never its pairs. Each document goes to its most frequent n-gram first, in
+parts that share one document; components are labelled. At the n-grams where two components still meet, documents come with
+their size, the n-gram's place in their set and ``SKETCH`` parity bits: sets with Jaccard ``t`` have their first common n-gram early enough in both
+(*positional filter*) and differ in no more bits than n-grams. Sets move only for the pairs that this leaves. No task holds a
+bucket, and no pair is left out.
 
 Defined results: a null or empty text, or one without words, has an empty set and is alone; with fewer than ``n`` words the
 whole sequence is the set's one element; repeated rows of an id are one node with the sets of all its rows (its size is that of
@@ -40,8 +42,8 @@ from .hashing import stir, word_codes
 SAMPLED, MANY, BITS = np.uint64(3 * (1 << 58) // 10), 8, 1 << 26
 #: Ids of candidates are broadcast (eight bytes each) up to this many, counted first; beyond it texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
-#: Sets of an area that one task holds at most.
-AREA_BYTES = 64 << 20
+#: Parity bits of a set, and bytes of them that one task compares at a time (twice as many where two parts of a bucket meet).
+SKETCH, AREA_BYTES = 1 << 11, 1 << 20
 
 _M3 = np.uint64(0x9E3779B97F4A7C15)
 
@@ -211,23 +213,74 @@ def trie_links(sets: list[np.ndarray], labels: list[int], percent: int, sides: l
     return found
 
 
+def sketch(keys: np.ndarray) -> bytes:
+    """``SKETCH`` parity bits of a set: two sets differ in no more bits than elements."""
+    place = (stir(keys.view(np.uint64)) & np.uint64(SKETCH - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def meeting(cell: np.ndarray, ids: np.ndarray, label: np.ndarray, size: np.ndarray, pos: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Of sets in order of their cell, the pairs (of ids) in a cell with different labels that could be similar if the n-gram is their first common one."""
+    out, at, step = [np.empty((0, 2), np.int64)], np.arange(len(cell)), 1
+    while len(at):
+        at = at[at + step < len(cell)]
+        at = at[cell[at] == cell[at + step]]
+        both = size[at] + size[at + step]
+        least = -(-percent * both // (100 + percent))
+        fits = (label[at] != label[at + step]) & (np.minimum(size[at] - pos[at], size[at + step] - pos[at + step]) >= least)
+        for k in range(0, len(near := at[fits]), 1 << 14):
+            x = near[k:k + (1 << 14)]
+            x = x[np.bitwise_count(bits[x] ^ bits[x + step]).sum(1, dtype=np.int64) <= (both - 2 * least)[fits][k:k + (1 << 14)]]
+            out.append(np.sort(np.stack([ids[x], ids[x + step]], 1), axis=1))
+        step += 1
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """``meeting`` of rows ``cell, id, label, size, pos, bits``, some whole cells at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def pairs(table):
+            column = {c: table.column(c).to_numpy() for c in ("cell", "id", "label", "size", "pos")}
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(table), -1)
+            found = meeting(column["cell"], column["id"], column["label"], column["size"].astype(np.int64), column["pos"].astype(np.int64), bits, percent)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n * SKETCH // 8 >= AREA_BYTES:
+                table = pa.Table.from_batches(held)
+                cell = table.column("cell").to_numpy()
+                whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+                if whole:
+                    yield pairs(table.slice(0, whole))
+                    held, n = table.slice(whole).combine_chunks().to_batches(), len(table) - whole
+        if n:
+            yield pairs(pa.Table.from_batches(held))
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
+
+
 def sets_of(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """``doc_id, size, class, prefix`` of every row: the class is a digest of the whole set."""
+    """``doc_id, size, class, skip, prefix`` of every row: the class is a digest of the whole set; ``skip`` n-grams come before the prefix's."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = Order(order.value)
         for batch in batches:
-            size, name, prefix = [], [], []
+            size, name, skip, prefix = [], [], [], []
             for text in _bytes(batch):
                 keys = shingles(text, n)
                 size.append(len(keys))
                 name.append(_digest(keys))
                 first = ranked.sort(keys)[:prefix_length(len(keys), percent)]
                 # what no other text has can't be shared
-                prefix.append(first[np.searchsorted(first, 1 << 58):])
+                skip.append(int(np.searchsorted(first, 1 << 58)))
+                prefix.append(first[skip[-1]:])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "size", "class", "prefix"])
-    return docs.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size bigint, class binary, prefix array<bigint>")
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(skip, pa.int32()),
+                 pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "size", "class", "skip", "prefix"])
+    return docs.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size bigint, class binary, skip int, prefix array<bigint>")
 
 
 def _digest(keys: np.ndarray) -> bytes:
@@ -239,14 +292,20 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` that tries find in cells (``cell, id, label, keys``) beyond what labels connect."""
     def work(rows: list[tuple]) -> list[tuple[int, int]]:
         ids, sets = [r[0] for r in rows], [np.frombuffer(r[2], np.int64) for r in rows]
-        meet: dict[int, list[int]] = {}
-        for k, keys in enumerate(sets):
-            prefix = keys[:prefix_length(len(keys), percent)]
-            for gram in prefix[np.searchsorted(prefix, 1 << 58):].tolist():
-                meet.setdefault(gram, []).append(k)
-        # one trie for each n-gram at which members that aren't connected meet, the largest first
+        size, bits = np.array(list(map(len, sets))), np.frombuffer(b"".join(map(sketch, sets)), np.uint64).reshape(len(sets), -1)
+        near = Links(list(range(len(sets))))
+        for k in range(1, len(sets)):
+            both = size[:k] + size[k]
+            least = -(-percent * both // (100 + percent))
+            fits = (np.minimum(size[:k], size[k]) >= least) & (np.bitwise_count(bits[:k] ^ bits[k]).sum(1, dtype=np.int64) <= both - 2 * least)
+            for j in np.flatnonzero(fits).tolist():
+                near.up[near.root(j)] = near.root(k)
+        groups: dict[int, list[int]] = {}
+        for k in range(len(sets)):
+            groups.setdefault(near.root(k), []).append(k)
+        # one trie for each group of members that length and parity bits don't tell apart
         links, out = Links([r[1] for r in rows]), []
-        for group in sorted((g for g in meet.values() if len(g) > 1), key=len, reverse=True):
+        for group in groups.values():
             roots = [links.root(k) for k in group]
             if len(set(roots)) > 1:
                 for x, y in trie_links([sets[k] for k in group], roots, percent):
@@ -266,52 +325,48 @@ def similar(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     nodes = stored(known.groupBy("class").agg(F.min("doc_id").alias("id")), "classes")
 
     # n-grams that several classes have in their prefixes
-    named = known.filter(F.size("prefix") > 0).select("class", "doc_id", "prefix").join(
+    named = known.filter(F.size("prefix") > 0).select("class", "doc_id", "size", "skip", "prefix").join(
         nodes.withColumnRenamed("id", "doc_id"), ["class", "doc_id"])
-    entries = stored(named.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("gram")).distinct(), "entries")
+    placed = named.select(F.col("doc_id").alias("id"), F.col("size").cast("int").alias("size"), "skip", F.posexplode("prefix").alias("pos", "gram"))
+    entries = stored(placed.select("id", "gram", "size", (F.col("skip") + F.col("pos")).alias("pos")).distinct(), "entries")
     shared = entries.groupBy("gram").agg(F.count("*").alias("held"), F.min("id").alias("anchor")).filter("held > 1")
-    live = stored(entries.join(shared, "gram").select("id", "gram", "held", "anchor"), "live")
+    live = stored(entries.join(shared, "gram").select("id", "gram", "size", "pos", "held", "anchor"), "live")
     ids = stored(live.select(F.col("id").alias("doc_id")).distinct(), "ids")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = Order(order.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(
-                [ranked.sort(shingles(t, n)).tobytes() for t in _bytes(batch)], pa.binary())], names=["id", "keys"])
+            found = [ranked.sort(shingles(t, n)) for t in _bytes(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k.tobytes() for k in found], pa.binary()), pa.array(map(len, found), pa.int32()),
+                                              pa.array([sketch(k) for k in found], pa.binary())], names=["id", "keys", "size", "bits"])
 
     few = ids.count() <= BROADCAST_IDS
-    sets = stored(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(keys, "id bigint, keys binary"), "keys")
-
-    # documents that meet at all, over any number of n-grams: one area; an area whose sets fit a task is one cell
-    met = components(live.select(F.col("anchor").alias("a"), F.col("id").alias("b")).distinct())
-    areas = stored(met.select(F.col("node").alias("id"), F.col("label").alias("area")), "areas")
-    weighed = areas.join(sets.select("id", F.length("keys").cast("bigint").alias("bytes")), "id")
-    wide = weighed.groupBy("area").agg((F.sum("bytes") > AREA_BYTES).alias("large"))
-    placed = stored(areas.join(wide, "area"), "placed")
-    small = placed.filter("not large").select(F.struct(F.col("area").alias("at"), F.lit(-1).alias("part")).alias("cell"), "id")
-    # of a larger area each document goes to its most frequent n-gram first, in parts that share that n-gram's smallest document
-    large = live.join(placed.filter("large").select("id"), "id")
+    sets = stored(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(keys, "id bigint, keys binary, size int, bits binary"), "keys")
+
+    # each document goes to its most frequent n-gram first, in parts that share that n-gram's smallest document
     parts = F.greatest(F.lit(1), F.ceil(F.col("held") / PART)).cast("int")
-    chosen = large.groupBy("id").agg(F.max(F.struct("held", "gram", "anchor")).alias("at")).select("id", "at.*")
+    chosen = live.groupBy("id").agg(F.max(F.struct("held", "gram", "anchor")).alias("at")).select("id", "at.*")
     seats = chosen.select(F.struct(F.col("gram").alias("at"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part")).alias("cell"), "id")
     anchors = chosen.select("gram", "anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select(
         F.struct(F.col("gram").alias("at"), "part").alias("cell"), F.col("anchor").alias("id"))
-    first = small.unionByName(seats).unionByName(anchors).distinct().select(F.xxhash64("cell").alias("cell"), "id", F.col("id").alias("label"))
-    edges = stored(_cells(first.join(sets, "id"), percent), "links")
+    first = seats.unionByName(anchors).distinct().select(F.xxhash64("cell").alias("cell"), "id", F.col("id").alias("label"))
+    edges = stored(_cells(first.join(sets.select("id", "keys"), "id"), percent), "links")
     labels = stored(components(edges), "labels")
 
-    # then its n-grams at which two components still meet, in full: parts in pairs, equal lists of documents once
-    labelled = large.join(labels, F.col("id") == labels["node"], "left").select("id", "gram", "held", F.coalesce("label", "id").alias("label"))
+    # then the n-grams at which two components still meet, by place and parity bits: parts in pairs
+    labelled = live.join(labels, F.col("id") == labels["node"], "left").select("id", "gram", "size", "pos", "held", F.coalesce("label", "id").alias("label"))
     open_grams = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("gram")
-    level = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("held") / PART)))).cast("int")
-    split = labelled.join(open_grams, "gram").withColumn("parts", level).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    paired = split.select("gram", "id", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    lists = paired.groupBy("gram", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.sort_array(F.collect_set("id")).alias("ids")).filter("low < high")
-    cells = lists.groupBy(F.xxhash64("ids").alias("cell")).agg(F.first("ids").alias("ids"))
-    second = cells.select("cell", F.explode("ids").alias("id")).join(labels, F.col("id") == labels["node"], "left").select(
-        "cell", "id", F.coalesce("label", "id").alias("label"))
-    more = stored(_cells(second.join(sets, "id"), percent), "links")
+    level = F.ceil(F.col("held") * (SKETCH // 8) / AREA_BYTES).cast("int")
+    split = labelled.join(open_grams, "gram", "left_semi").withColumn("parts", level).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    paired = split.select("gram", "id", "size", "pos", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = paired.select(F.xxhash64("gram", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "id", "size", "pos", "label").join(
+        sets.select("id", "size", "bits").distinct(), ["id", "size"])
+    likely = stored(_meetings(met, percent), "likely")
+
+    # the pairs that are left, each document with the larger ids that it met
+    second = likely.select(F.col("a").alias("cell"), F.col("b").alias("id")).unionByName(likely.select(F.col("a").alias("cell"), F.col("a").alias("id"))).distinct().join(
+        labels, F.col("id") == labels["node"], "left").select("cell", "id", F.coalesce("label", "id").alias("label"))
+    more = stored(_cells(second.join(sets.select("id", "keys"), "id"), percent), "links")
     final = components(more.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
 
     reached = nodes.join(final, nodes["id"] == final["node"], "left").select("class", F.coalesce("label", "id").alias("component"))

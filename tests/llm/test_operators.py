@@ -137,6 +137,46 @@ def test_trie_join_splits_a_large_group(spark, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in got} == want and len({c for _, c in want.values()}) > 1
 
 
+def test_trie_join_moves_sets_of_likely_pairs_only(spark, monkeypatch):
+    """Documents with many n-grams in common that aren't similar: none of them travels once for each n-gram."""
+    monkeypatch.setattr(trie_join, "PART", 4)
+    monkeypatch.setattr(trie_join, "AREA_BYTES", 1_000)
+    draw = random.Random(4)
+    shared = prose(draw, 60, 10**6)
+    rows = [(k, f"{shared} {prose(draw, 12, 10**6)}") for k in range(60)]
+    rows.append((60, rows[9][1] + " more"))
+    moved, run = [], trie_join.run_cells
+
+    def counted(members, *rest):
+        moved.append(members.count())
+        return run(members, *rest)
+
+    monkeypatch.setattr(trie_join, "run_cells", counted)
+    got = trie_join.similar(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).select("doc_id", "n_shingles", "component_id").collect()
+    want = groups(rows, 3, 90)
+    assert {r[0]: (r[1], r[2]) for r in got} == want and want[60][1] == 9 and len({c for _, c in want.values()}) == 60
+    assert len(moved) == 2 and moved[1] < 100, moved
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_trie_join_meeting_leaves_no_similar_pair_out(percent):
+    draw, sets = np.random.default_rng(5), []
+    for _ in range(12):
+        whole = draw.choice(10**12, draw.integers(3, 900), replace=False)
+        for lost in (0, 0.01, 0.05, 0.2):
+            other = whole.copy()
+            other[draw.random(len(whole)) < lost] = draw.integers(10**13, 10**14)
+            sets.append(np.unique(other))
+    bits = np.frombuffer(b"".join(map(trie_join.sketch, sets)), np.uint64).reshape(len(sets), -1)
+    rows = sorted((int(g), k, pos) for k, s in enumerate(sets) for pos, g in enumerate(s[:trie_join.prefix_length(len(s), percent)]))
+    cell, ids, pos = (np.array(x) for x in zip(*rows))
+    size = np.array([len(sets[k]) for k in ids])
+    found = set(map(tuple, trie_join.meeting(cell, ids, ids, size, pos, bits[ids], percent).tolist()))
+    want = {(j, i) for i in range(len(sets)) for j in range(i) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - n)}
+    assert want <= found and len(want) > 12 and all(100 * min(len(sets[i]), len(sets[j])) >= percent * max(len(sets[i]), len(sets[j])) for i, j in found)
+    assert trie_join.meeting(cell, ids, ids * 0, size, pos, bits[ids], percent).tolist() == []
+
+
 def test_representatives_keep_one_row_of_each_group(docs, texts):
     want = groups([(r[0], r[1]) for r in texts], 5, 80)
     got = trie_join.representatives(docs)
