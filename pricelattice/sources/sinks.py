@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 from dataclasses import asdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import readiness as rd
@@ -17,6 +21,9 @@ from . import versions
 from .readers import path_exists
 
 DATA = "data"
+#: Files of up to this many bytes are read as one value; larger ones pass by in pieces (Spark refuses values of 2 GB).
+WHOLE_FILE = 64 << 20
+BOM = b"\xef\xbb\xbf"
 
 
 def write_panel(panel: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -44,17 +51,80 @@ def write_result(df: DataFrame, folder: str, name: str) -> None:
     (w.partitionBy("commodity") if "commodity" in df.columns else w).parquet(f"{folder}/{name}")
 
 
+def _stream_digests(skip_unreadable: bool):
+    """Rows ``key, size, piece`` (a file's pieces in order, each with a line feed behind it) to ``key, sha256``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, size, n, hashes = None, 0, 0, ()
+
+        def ended() -> pa.RecordBatch:
+            # Spark drops a byte-order mark and doesn't tell whether the last line ended in a line feed: the file's length does
+            lacks = size - (n - 1)
+            if lacks not in (0, 1, 3, 4) and not skip_unreadable:
+                raise OSError(f"a file of {size} bytes gave {n - 1}")
+            found = [] if lacks not in (0, 1, 3, 4) else [hashes[lacks >= 3]]
+            if lacks in (1, 4):
+                found[0].update(b"\n")
+            return pa.RecordBatch.from_pydict({"key": pa.array([key] * len(found), pa.int64()), "sha256": pa.array([h.hexdigest() for h in found], pa.string())})
+
+        for batch in batches:
+            keys, sizes = batch.column("key").to_numpy(), batch.column("size").to_numpy()
+            pieces = batch.column("piece").cast(pa.large_binary())
+            ends, data = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:pieces.offset + len(pieces) + 1], memoryview(pieces.buffers()[2] or b"")
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][:len(keys)]).tolist()
+            for first, last in zip(starts, [*starts[1:], len(keys)]):
+                if keys[first] != key:
+                    if key is not None:
+                        yield ended()
+                    key, size, n, hashes = int(keys[first]), int(sizes[first]), 0, (hashlib.sha256(), hashlib.sha256(BOM))
+                for h in hashes:
+                    if n:
+                        h.update(b"\n")
+                    h.update(data[ends[first]:ends[last] - 1])
+                n += int(ends[last] - ends[first])
+        if key is not None:
+            yield ended()
+    return run
+
+
+def _digests(spark: SparkSession, folder: str, keep: str = "*", skip_unreadable: bool = False) -> DataFrame:
+    """(path, sha256, bytes) of every file below a folder, or of one file, with whole paths.
+
+    SHA-256 is a chain over a file's bytes, so a file is one task's. Up to ``WHOLE_FILE`` bytes it is one value there. A larger one is read line
+    by line (any bytes are lines): a codec that passes bytes on keeps Spark from splitting it, and the pieces are hashed as they come by.
+    """
+    def scan(kind: str, **options):
+        return spark.read.format(kind).options(recursiveFileLookup=True, pathGlobFilter=keep, ignoreCorruptFiles=skip_unreadable, **options).load(folder)
+
+    raw = scan("binaryFile")
+    small = raw.where(F.col("length") <= WHOLE_FILE).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    large = raw.where(F.col("length") > WHOLE_FILE).select("path", F.col("length").alias("bytes"), F.xxhash64("_metadata.file_path").alias("key"))
+    def ending(path: str):
+        name = F.element_at(F.split(path, "/"), -1)
+        return F.when(name.contains("."), F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1))).otherwise(name)
+
+    # Hadoop's constant: its shaded client has another name for the option
+    passes = spark._jvm.org.apache.hadoop.io.compress.PassthroughCodec
+    found = raw.where(F.col("length") > WHOLE_FILE).select(ending("path").alias("end"), ending("_metadata.file_path").alias("coded"))
+    for end, coded in sorted(map(tuple, found.distinct().collect())):
+        codec = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec", passes.OPT_EXTENSION: end}
+        lines = scan("text", lineSep="\n", **codec).where((F.col("_metadata.file_size") > WHOLE_FILE) & F.col("_metadata.file_name").endswith(coded))
+        pieces = lines.select(F.xxhash64("_metadata.file_path").alias("key"), F.col("_metadata.file_size").alias("size"),
+                              F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("piece"))
+        told = large.where(ending("path") == end).join(pieces.mapInArrow(_stream_digests(skip_unreadable), "key bigint, sha256 string"), "key", "left")
+        told = told.where("sha256 is not null") if skip_unreadable else told.withColumn("sha256", F.coalesce("sha256", F.raise_error(F.concat("path", F.lit(" was not read")))))
+        small = small.unionByName(told.select("path", "sha256", "bytes"))
+    return small
+
+
 def file_hashes(spark: SparkSession, folder: str, keep: str = "*", skip_unreadable: bool = False) -> DataFrame:
     """(path, sha256, bytes) of every file below a folder; one file per row, hashed on the executors.
 
     ``skip_unreadable`` leaves out files that the file system itself refuses to read, for verification only.
     """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", keep)
-           .option("ignoreCorruptFiles", skip_unreadable).load(folder))
     root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     # paths relative to the folder, so a snapshot can be moved
     rel = F.element_at(F.split(F.col("path"), root + "/", 2), 2)
-    return raw.select(rel.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).where(
+    return _digests(spark, folder, keep, skip_unreadable).select(rel.alias("path"), "sha256", "bytes").where(
         ~F.element_at(F.split("path", "/"), -1).rlike(r"^(_SUCCESS|\..*)$"))
 
 
@@ -64,8 +134,7 @@ def append_provenance(spark: SparkSession, ledger: str, source: str, tier: str,
                                 F.lit(source).alias("source"), F.lit(tier).alias("source_tier"), F.lit(rows).cast("bigint").alias("rows"),
                                 F.lit(raw_path or "").alias("raw_path"), F.lit(note).alias("note"))
     if raw_path and path_exists(spark, raw_path):
-        digest = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(raw_path).select(
-            F.col("path"), F.sha2("content", 256).alias("h"))
+        digest = _digests(spark, raw_path).select("path", F.col("sha256").alias("h"))
         # one digest over the sorted per-file digests of the raw input
         one = one.withColumn("raw_sha256", digest.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256)).scalar())
     else:

@@ -307,3 +307,23 @@ def test_training_selects_saves_and_serves(spark, folder):
     assert fc.serve_forecasts(spark, f"{folder}/f", ["a"]).count() == 1
     ridge = fc.fit(fc.build_features(x, "Onion"), [fc.RIDGE])[fc.RIDGE]
     assert ridge.transform(fc.latest_features(x.withColumn("market_id", F.concat("market_id", F.lit("new"))), "Onion")).count() == 3
+
+
+def test_file_hashes_of_files_beyond_one_value(spark, folder, monkeypatch):
+    import hashlib
+
+    from pricelattice.sources import sinks
+    monkeypatch.setattr(sinks, "WHOLE_FILE", 4)
+    draw = np.random.default_rng(1)
+    files = {"a.parquet": draw.bytes(300_000), "b.parquet": draw.bytes(70_000) + b"\n", "sub/c d.parquet": b"\xef\xbb\xbfone\ntwo", "sub/e.parquet": b"\xef\xbb\xbfone\r\n",
+             "f.parquet": b"\n" * 9, "g.parquet": b"no line feed", "small.parquet": b"abc", "h.json.gz": b"not packed\n", "bare": draw.bytes(9_000)}
+    for name, data in files.items():
+        os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
+        open(f"{folder}/{name}", "wb").write(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)  # no file may be split
+    try:
+        got = {r.path: (r.sha256, r.bytes) for r in sinks.file_hashes(spark, folder).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {name: (hashlib.sha256(data).hexdigest(), len(data)) for name, data in files.items()}
+    assert [r.path for r in sinks.file_hashes(spark, folder, "*.gz").collect()] == ["h.json.gz"]
