@@ -239,7 +239,9 @@ def _(spark, d):
     CASE WHEN markets >= 2 THEN cv_ END AS cv, CASE WHEN markets >= 2 THEN gap_ END AS relative_gap FROM g JOIN dv ON g.date = dv.date AND g.commodity = dv.commodity)""",
     "date:d commodity:s markets:i median_price:f iqr:f mad:f cv:f relative_gap:f", "r"))
 def _(spark, d):
-    return cov.price_dispersion(wh.stored_panel(spark, d, typed=True, fine=True))
+    days, names = wh.daily_prices(spark, d, typed=True, fine=True)
+    found = cov.price_dispersion(days)
+    return found.join(names, found["commodity"] == names["number"]).select(*[F.col("name").alias(c) if c == "commodity" else found[c] for c in found.columns])
 
 
 QUALITY = """SELECT count(*) AS rows, count(DISTINCT state) AS states, count(DISTINCT market_id) AS markets, count(DISTINCT commodity) AS commodities,

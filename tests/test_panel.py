@@ -212,3 +212,19 @@ def test_only_local_sessions_do_without_a_shared_folder():
     for master in ("yarn", "spark://h:7077", "k8s://x", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="checkpoint.dir"):
             shared_root(None, "/w", master)
+
+
+def test_dispersion_moves_numbers_instead_of_names(spark):
+    from pricelattice.operators import coverage as cov
+    from pricelattice.sources import warehouse as wh
+    folder = "/root/testdata/sf0.001"
+    days, names = wh.daily_prices(spark, folder, typed=True, fine=True)
+    assert "string" not in dict(days.dtypes).values()
+    name = {r.number: r["name"] for r in names.collect()}
+
+    def rows(df, told):
+        return {(r.date, told(r.commodity)): tuple(-1 if x is None else x for x in r[2:]) for r in df.collect()}
+    got = rows(cov.price_dispersion(days), name.get)
+    want = rows(cov.price_dispersion(wh.panel(spark, folder, typed=True, fine=True)), str)
+    assert got.keys() == want.keys() and len(set(name.values())) > 1
+    assert all(x == pytest.approx(want[k], rel=1e-9) for k, x in got.items())
